@@ -23,8 +23,14 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.sstable import write_and_scan
+
+    return write_and_scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_bpe_round_trip)}
+    return {f.__name__: f for f in (op2_token_counts, op3_bpe_round_trip, op8_sstable)}
 
 
 def oracle_sql() -> dict[str, str]:
