@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.warc import archive_digests
+
+    return archive_digests(spark, _table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.token_counts import token_counts
 
@@ -30,8 +36,10 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_bpe_round_trip, op8_sstable)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op8_sstable)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillspark.llm import warc
+
+    return {"op1_warc": warc.ORACLE}
