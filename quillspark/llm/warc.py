@@ -219,7 +219,7 @@ WITH page AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 hashed AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM page),
 last AS (SELECT hex, max(page_id) AS last, count(*) AS copies FROM hashed WHERE payload_bytes >= 0 GROUP BY hex)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            CAST(((CAST('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
        CASE WHEN copies > 1 AND last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN copies > 1 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
