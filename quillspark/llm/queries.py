@@ -35,8 +35,14 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=4, most=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op8_sstable)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op8_sstable, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
