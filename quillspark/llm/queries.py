@@ -29,6 +29,12 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.sstable import write_and_scan
 
@@ -42,7 +48,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op8_sstable, op9_simhash)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op7_secret_scan, op8_sstable, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
