@@ -29,6 +29,13 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.verdicts(docs, quality.learn(docs, _table(spark, sf_dir, "labels"), max_labelled=20_000))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.secrets import scan
 
@@ -48,7 +55,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op7_secret_scan, op8_sstable, op9_simhash)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op7_secret_scan, op8_sstable, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
