@@ -54,8 +54,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4, most=4)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=5, similarity=0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op7_secret_scan, op8_sstable, op9_simhash)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
