@@ -5,10 +5,10 @@ then a Bloom filter of the keys, a sparse index with the first key and place of
 footer of fixed size that says where those two begin:
 
     block   records, each: shared prefix length, rest length, value length (varints), rest of key, value
-    value   ids as little-endian unsigned 32-bit integers
+    value   ids as little-endian unsigned integers of the footer's width: 2 bytes if the vocabulary's ids fit, else 4
     bloom   number of hash functions (u32), bits
     index   entries, each: key length (varint), key, offset (u64), size (u64)
-    footer  offset and size of bloom, offset and size of index (4 x u64), number of records (u64), crc32 of index (u32), magic
+    footer  offset and size of bloom, offset and size of index (4 x u64), number of records (u64), crc32 of index (u32), width of ids (u8), magic
 
 The first key of a block is written whole (shared length 0), so a lookup asks the Bloom filter,
 bisects the index and scans one block. Keys are identifiers as 9 big-endian bytes whose order is
@@ -40,8 +40,8 @@ from pyspark.sql.window import Window
 from quillspark.llm import common, tokens
 from quillspark.llm.bpe import codec, stretches
 
-MAGIC = b"QSST0001"
-FOOTER = struct.Struct("<5QI8s")
+MAGIC = b"QSST0002"
+FOOTER = struct.Struct("<5QIB8s")
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 * 1024, 10, 7
 MANIFEST = "shard int, path string, first_key binary, last_key binary, n_docs long, n_tokens long"
 
@@ -82,8 +82,8 @@ def bloom_places(key: bytes, bits: int) -> list[int]:
 class Writer:
     """Appends records in ascending order of key to a binary stream."""
 
-    def __init__(self, out, block_bytes: int = BLOCK_BYTES):
-        self.out, self.block_bytes = out, block_bytes
+    def __init__(self, out, block_bytes: int = BLOCK_BYTES, width: int = 4):
+        self.out, self.block_bytes, self.width = out, block_bytes, width
         self.at = self.n = 0
         self.block = bytearray()
         self.first = self.last = b""
@@ -122,7 +122,7 @@ class Writer:
                 filled[p >> 3] |= 1 << (p & 7)
         bloom = struct.pack("<I", HASHES) + bytes(filled)
         index = b"".join(varint(len(k)) + k + struct.pack("<2Q", at, size) for k, at, size in self.index)
-        self.out.write(bloom + index + FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), self.n, zlib.crc32(index), MAGIC))
+        self.out.write(bloom + index + FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), self.n, zlib.crc32(index), self.width, MAGIC))
 
 
 class Reader:
@@ -130,7 +130,7 @@ class Reader:
 
     def __init__(self, file, size: int):
         self.file = file
-        bloom_at, bloom_size, index_at, index_size, self.n, crc, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
+        bloom_at, bloom_size, index_at, index_size, self.n, crc, self.width, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard")
         index = self._read(index_at, index_size)
@@ -164,6 +164,9 @@ class Reader:
         for k in range(len(self.places)):
             yield from self.block(k)
 
+    def ids(self, value: bytes) -> np.ndarray:
+        return np.frombuffer(value, f"<u{self.width}").astype("<u4")
+
     def get(self, key: bytes) -> list[bytes]:
         """The values of a key: Bloom filter, then binary search of the sparse index, then one block (more if the key repeats)."""
         if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in bloom_places(key, len(self.bloom) * 8)):
@@ -213,6 +216,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         from pyspark import TaskContext
 
         encode = encoder(path)
+        width = 2 if max(tokens.load(path).model.get_vocab_size() if path.endswith(".json") else tokens.load(path).model.get_piece_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         fs, root = common.filesystem(folder)
         fs.create_dir(root, recursive=True)
@@ -225,10 +229,10 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                 for i, ids in zip(b.column(0).to_pylist(), encode(pc.fill_null(b.column(1), "").to_pylist()), strict=True):
                     if writer is None:
                         out = fs.open_output_stream(name)
-                        writer = Writer(out)
+                        writer = Writer(out, width=width)
                     key = key_of(i)
                     first, last = first if docs_seen else key, key
-                    value = np.concatenate([ids.astype("<u4"), tail])
+                    value = np.concatenate([ids, tail]).astype(f"<u{width}")
                     writer.add(key, value.tobytes())
                     docs_seen, ids_seen = docs_seen + 1, ids_seen + len(value)
         if writer is not None:
@@ -254,11 +258,13 @@ def scan_digests(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Da
                 ids, starts, sizes, sums = [], [], [], []
                 at = r["before"]
                 with fs.open_input_file(r["path"]) as f:
-                    for key, value in Reader(f, f.size()).scan():
+                    reader = Reader(f, f.size())
+                    for key, value in reader.scan():
+                        wide = reader.ids(value)
                         ids.append(identifier_of(key))
                         starts.append(at)
-                        sizes.append(len(value) // 4)
-                        sums.append(zlib.crc32(value))
+                        sizes.append(len(wide))
+                        sums.append(zlib.crc32(wide.tobytes()))
                         at += sizes[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, sizes, sums)], [id_col, "start", "n_tokens", "ids_crc32"])
 
@@ -276,7 +282,8 @@ def lookup(manifest: DataFrame, folder: str, identifiers: Iterable[int | None])
         key = key_of(i)
         for r in manifest.where((F.col("first_key") <= F.lit(key)) & (F.col("last_key") >= F.lit(key))).orderBy("shard").collect():
             with fs.open_input_file(r.path) as f:
-                found += [(i, np.frombuffer(v, "<u4").tolist()) for v in Reader(f, f.size()).get(key)]
+                reader = Reader(f, f.size())
+                found += [(i, reader.ids(v).tolist()) for v in reader.get(key)]
     return found
 
 
