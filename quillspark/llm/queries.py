@@ -36,6 +36,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(docs, quality.learn(docs, _table(spark, sf_dir, "labels"), max_labelled=20_000))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.suffix_dedup import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.secrets import scan
 
@@ -67,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op5_suffix_dedup, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
