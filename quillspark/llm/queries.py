@@ -42,6 +42,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.fm_dedup import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.secrets import scan
 
@@ -73,10 +79,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op5_suffix_dedup, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op5_suffix_dedup, op6_fm_dedup, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillspark.llm import warc
+    from quillspark.llm import fm_dedup, suffix_dedup, warc
 
-    return {"op1_warc": warc.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_fm_dedup": fm_dedup.ORACLE}

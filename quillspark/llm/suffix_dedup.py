@@ -100,3 +100,22 @@ def _run(docs: DataFrame, id_col: str, text_col: str, hot: int, texts: bool) ->
 
     fields = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
     return repeats.reduce_texts(docs, UNIT, id_col, text_col, hot, [("kept_bytes", pa.binary(), "binary"), *fields] if texts else fields, row)
+
+
+#: Bytes as pairs of hexadecimal digits; runs come from the places where coverage starts anew.
+ORACLE = """
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT rid, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM doc WHERE length(h) >= 400)),
+twice AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT rid, p FROM win JOIN twice USING (k)),
+run AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS g
+        FROM (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM hit)),
+span AS (SELECT rid, g, min(p) AS b, max(p) + 200 AS e FROM run GROUP BY rid, g),
+gap AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY b), 0) AS x, b AS y FROM span
+        UNION ALL SELECT rid, max(e), length(any_value(h)) // 2 FROM span JOIN doc USING (rid) GROUP BY rid),
+rest AS (SELECT rid, string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x) AS kept FROM gap JOIN doc USING (rid) GROUP BY rid),
+counts AS (SELECT rid, sum(e - b) AS n, count(*) AS spans FROM span GROUP BY rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept END)) AS kept_sha256
+FROM doc LEFT JOIN counts USING (rid) LEFT JOIN rest USING (rid)
+"""
