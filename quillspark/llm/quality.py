@@ -202,5 +202,10 @@ def verdicts(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the base filters or the rules reject."""
-    return with_features(docs, text_col).where(~base_failed() & ~rejects(rules)).drop("_quality")
+    """``docs`` without the rows that the base filters or the rules reject.
+
+    A filter on the row number keeps Spark from pushing the verdict below the features: there each mention of
+    a feature would be replaced by its whole expression, which makes plans too large to optimise.
+    """
+    rows = with_features(docs, text_col).withColumn("_quality_row", F.monotonically_increasing_id())
+    return rows.where((F.col("_quality_row") >= 0) & ~base_failed() & ~rejects(rules)).drop("_quality", "_quality_row")
