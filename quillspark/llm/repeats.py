@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import windows
 from quillspark.llm.common import materialize
 
-CHUNK, PIECE, SHARD = 400_000, 1_000_000, 8_000
+CHUNK, PIECE, SHARD = 150_000, 1_000_000, 3_000
 Symbols = bytes | list[bytes]
 
 
