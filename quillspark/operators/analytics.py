@@ -173,7 +173,7 @@ def load_summary(rows: DataFrame, endpoint: str, value: str, ts: str, failed: Co
     return base.join(index_percentiles(rows, endpoint, value, [0.95]).select(endpoint, "p95"), endpoint)
 
 
-def prometheus_lines(rows: DataFrame, name: str, label: str, value: str, prefix: str = "docqa") -> DataFrame:
+def prometheus_lines(rows: DataFrame, name: str, label: str, value: str, prefix: str = "quillspark") -> DataFrame:
     """Text exposition lines of a labelled counter."""
     return rows.select(F.format_string(f'{prefix}_{name}{{{label}="%s"}} %d', F.col(label).cast("string"), F.col(value)).alias("line"))
 

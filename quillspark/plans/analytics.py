@@ -170,7 +170,7 @@ def error_counts(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if(bad).alias("errors"), F.round(F.avg(bad.cast("double")), 6).alias("error_ratio"))
 
 
-@register("counters_as_text", "SELECT 'docqa_requests_total{endpoint=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
+@register("counters_as_text", "SELECT 'quillspark_requests_total{endpoint=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
 def counters_as_text(spark, sf_dir):
     return analytics.prometheus_lines(_events(spark, sf_dir).groupBy(F.col("event_type").alias("endpoint")).count(), "requests_total", "endpoint", "count")
 

@@ -86,6 +86,13 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_index(spark, sf_dir).terms, "idf")
 
 
+@register("bm25_incremental", f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = keyword.build_index(docs.where("lang = 'en'"))
+    return _rounded(keyword.add_documents(part, docs.where("lang <> 'en'")).terms, "idf")
+
+
 @register("bm25_index_stats", f"WITH {INDEX} SELECT n_docs, round(avgdl, 6) AS avgdl, n_terms, (SELECT count(*) FROM dfs) AS n_vocabulary FROM tot")
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)

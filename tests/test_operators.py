@@ -173,6 +173,15 @@ def test_bm25_on_empty_corpora(spark):
     assert keyword.bm25_search(keyword.build_index(docs), queries).collect() == []
 
 
+def test_saved_index_gives_the_same_hits(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    queries = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    index = keyword.build_index(docs)
+    keyword.save_index(index, str(tmp_path / "index"))
+    hits = lambda i: {(r.item_id, r.doc_id, round(r.score, 9)) for r in keyword.bm25_search(i, queries, 5).collect()}
+    assert hits(keyword.load_index(spark, str(tmp_path / "index"))) == hits(index)
+
+
 def test_mmr_and_cross_encoder(spark):
     rows = [(1, 10, 3.0, 1, "a b c", "q"), (1, 11, 2.9, 2, "a b c", "q"), (1, 12, 1.0, 3, "x y z", "q")]
     c = spark.createDataFrame(rows, "q long, i long, score double, rank long, text string, query string")
