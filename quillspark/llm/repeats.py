@@ -171,13 +171,15 @@ def shared_by_hash(contexts: DataFrame, unit: Unit) -> DataFrame:
     found = contexts.mapInArrow(run, "window binary, key long, begin long, once boolean")
     place = F.struct("key", "begin")
     twice = found.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
+    twice = materialize(twice, "windows")
     return found.where("once").join(twice, "window").select("key", (F.shiftleft("begin", 32) + F.col("begin") + length).alias("span"))
 
 
 def repeated_spans(texts: DataFrame, unit: Unit, hot: int) -> DataFrame:
     """(key, span) of all places of windows that occur elsewhere; a span packs begin and end, and spans may overlap."""
     rows = trigger_rows(texts, unit)
-    twice = rows.groupBy("near").agg(F.count("*").alias("n")).where("n > 1").select("near")
+    # What a join takes from an aggregate is written out first: AQE splits a hot key only between two plain exchanges.
+    twice = materialize(rows.groupBy("near").agg(F.count("*").alias("n")).where("n > 1").select("near"), "twice")
     candidates = materialize(rows.join(twice, "near").select("near", "whole", "key", "place"), "candidates")
     contexts = materialize(candidates.groupBy("near", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")), "contexts")
     full = candidates.join(contexts.where("n > 1").select("near", "whole"), ["near", "whole"])
@@ -185,6 +187,7 @@ def repeated_spans(texts: DataFrame, unit: Unit, hot: int) -> DataFrame:
     end = F.shiftright("place", 16) - F.col("place").bitwiseAND(255) + unit.shape.length
     full = full.select("key", (F.shiftleft(begin, 32) + end).alias("span"))
     kinds = contexts.groupBy("near").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 AND fewest = 1").select("near", "kinds")
+    kinds = materialize(kinds, "kinds")
     mixed = contexts.join(kinds, "near").select("near", "whole", F.col("one.key").alias("key"), F.col("one.place").alias("place"), (F.col("n") == 1).alias("once"), (F.col("kinds") > hot).alias("hot"))
     mixed = materialize(mixed, "mixed")
     found = full.union(shared_in_shards(cut_contexts(texts, mixed.where("NOT hot"), unit), unit))
