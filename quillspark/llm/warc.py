@@ -144,6 +144,7 @@ def resolved(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_rev
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     page = page.withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     last = page.where(F.octet_length("html") >= min_revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").select("sha", "last")
+    last = common.materialize(last, "last")  # AQE splits a digest with many pages only between two plain exchanges
     joined = page.join(last, "sha", "left")
     return joined.select("page_id", "url", "html", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
