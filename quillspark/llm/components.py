@@ -9,8 +9,11 @@ from quillspark.llm.common import materialize
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    """Each edge (u, v) with the smallest of u and its neighbours. A node with many edges is split by AQE in the join."""
-    low = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """Each edge (u, v) with the smallest of u and its neighbours.
+
+    The minima are written out first: AQE splits a node with many edges only in a join of two plain exchanges.
+    """
+    low = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lowest")
     return edges.join(low, "u")
 
 
