@@ -51,7 +51,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, queries: list[int], k: int) -> pa
 def query_blocks(queries: DataFrame, id_col: str, vec_col: str, block: int) -> Iterator[tuple[list[int], np.ndarray]]:
     """Blocks of at most ``block`` queries; the driver holds one at a time."""
     ids, rows = [], []
-    for r in queries.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
+    for r in queries.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null").toLocalIterator(prefetchPartitions=True):
         ids.append(r.i)
         rows.append(r.v)
         if len(ids) >= block:
