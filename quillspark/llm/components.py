@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 
 
-def _lowest(edges: DataFrame) -> DataFrame:
+def _lowest(edges: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """Each edge (u, v) with the smallest of u and its neighbours.
 
     The minima are written out first: AQE splits a node with many edges only in a join of two plain exchanges.
     """
     low = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lowest")
+    spent.append(low)
     return edges.join(low, "u")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, spent: list[DataFrame]) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _lowest(both, spent).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, spent: list[DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _lowest(down)
+    low = _lowest(down, spent)
     return low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -33,7 +34,9 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     now = materialize(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+        spent = [now]
+        now = materialize(_small_star(_large_star(now, spent), spent), "stars")
+        discard(*spent)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

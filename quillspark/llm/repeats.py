@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import windows
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 
 CHUNK, PIECE, SHARD = 150_000, 1_000_000, 3_000
 Symbols = bytes | list[bytes]
@@ -154,8 +154,8 @@ def shared_in_shards(contexts: DataFrame, unit: Unit) -> DataFrame:
     return contexts.repartition(parts, "near").sortWithinPartitions("near", "whole").mapInArrow(run, "key long, span long")
 
 
-def shared_by_hash(contexts: DataFrame, unit: Unit) -> DataFrame:
-    """The same for contexts of hot ``near`` values, by counting windows."""
+def shared_by_hash(contexts: DataFrame, unit: Unit, spent: list[DataFrame]) -> DataFrame:
+    """The same for contexts of hot ``near`` values, by counting windows; what it writes joins ``spent``."""
     length = unit.shape.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +172,7 @@ def shared_by_hash(contexts: DataFrame, unit: Unit) -> DataFrame:
     place = F.struct("key", "begin")
     twice = found.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
     twice = materialize(twice, "windows")
+    spent.append(twice)
     return found.where("once").join(twice, "window").select("key", (F.shiftleft("begin", 32) + F.col("begin") + length).alias("span"))
 
 
@@ -190,11 +191,14 @@ def repeated_spans(texts: DataFrame, unit: Unit, hot: int) -> DataFrame:
     kinds = materialize(kinds, "kinds")
     mixed = contexts.join(kinds, "near").select("near", "whole", F.col("one.key").alias("key"), F.col("one.place").alias("place"), (F.col("n") == 1).alias("once"), (F.col("kinds") > hot).alias("hot"))
     mixed = materialize(mixed, "mixed")
+    spent = [twice, candidates, contexts, kinds, mixed]
     found = full.union(shared_in_shards(cut_contexts(texts, mixed.where("NOT hot"), unit), unit))
     over = mixed.where("hot")
     if not over.isEmpty():
-        found = found.union(shared_by_hash(cut_contexts(texts, over, unit), unit))
-    return materialize(found.groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
+        found = found.union(shared_by_hash(cut_contexts(texts, over, unit), unit, spent))
+    spans = materialize(found.groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(*spent)
+    return spans
 
 
 def cover(spans: list[int] | None) -> list[tuple[int, int]]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 from quillspark.llm.components import components
 
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = nodes.join(member, nodes.fp == member.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
     named = materialize(of.join(lowest, "component").select("fp", "component_id"), "components")
+    discard(nodes)
     joined = rows.join(named, "fp")
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
