@@ -144,7 +144,7 @@ class Block:
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, most_items: int, most_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
     block, size = [], 0
-    for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
+    for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator(prefetchPartitions=True):
         block.append((r.i, r.t))
         size += len(r.t or "")
         if len(block) >= most_items or size >= most_bytes:
