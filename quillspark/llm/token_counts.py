@@ -42,7 +42,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_docs: int
 
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null").sample(min(1.0, sample_docs / n), seed=1)
     total: Counter = Counter()
-    for row in texts.mapInArrow(tally, "piece string, n long").toLocalIterator():
+    for row in texts.mapInArrow(tally, "piece string, n long").collect():  # at most per_doc rows for each sampled text
         total[row.piece] += row.n
     pieces = [p for p, _ in total.most_common(max_frequent)]
     t = tokens.load(path)
