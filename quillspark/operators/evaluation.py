@@ -65,7 +65,9 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def clipped_overlap(pairs: DataFrame, id_col: str, candidate: str, reference: str, n: int) -> DataFrame:
     """(id, overlap, n_candidate, n_reference): n-gram counts, shared ones by the smaller count."""
-    both = pairs.select(id_col, ngrams(metric_tokens(candidate), n).alias("c"), ngrams(metric_tokens(reference), n).alias("r"))
+    # Tokens are a column of their own first: within a lambda their expression would run for every n-gram.
+    tokens = pairs.select(id_col, metric_tokens(candidate).alias("_c"), metric_tokens(reference).alias("_r"))
+    both = tokens.select(id_col, ngrams(F.col("_c"), n).alias("c"), ngrams(F.col("_r"), n).alias("r"))
     sides = both.select(id_col, F.explode("c").alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r")).union(both.select(id_col, F.explode("r"), F.lit(0), F.lit(1)))
     counted = sides.groupBy(id_col, "g").agg(F.sum("c").alias("c"), F.sum("r").alias("r")).groupBy(id_col).agg(F.sum(F.least("c", "r")).alias("overlap"))
     return both.select(id_col, F.size("c").cast("long").alias("n_candidate"), F.size("r").cast("long").alias("n_reference")).join(counted, id_col, "left").fillna(0, ["overlap"])
