@@ -59,13 +59,16 @@ def exact_match(candidate: Column | str, reference: Column | str) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    many = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, many).otherwise(F.array().cast("array<string>"))
+    def of(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, many).otherwise(F.array().cast("array<string>"))
+
+    # Bound once: within the inner lambda the expression of the tokens would run for every n-gram.
+    return F.element_at(F.transform(F.array(tokens), of), 1)
 
 
 def clipped_overlap(pairs: DataFrame, id_col: str, candidate: str, reference: str, n: int) -> DataFrame:
     """(id, overlap, n_candidate, n_reference): n-gram counts, shared ones by the smaller count."""
-    # Tokens are a column of their own first: within a lambda their expression would run for every n-gram.
     tokens = pairs.select(id_col, metric_tokens(candidate).alias("_c"), metric_tokens(reference).alias("_r"))
     both = tokens.select(id_col, ngrams(F.col("_c"), n).alias("c"), ngrams(F.col("_r"), n).alias("r"))
     sides = both.select(id_col, F.explode("c").alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r")).union(both.select(id_col, F.explode("r"), F.lit(0), F.lit(1)))
