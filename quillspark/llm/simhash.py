@@ -249,8 +249,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without all but one document of each group: the one with the smallest id stays, once; rows with a null id stay."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return with_id.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    """``docs`` without all but one document of each group: the one with the smallest id stays, once; rows with a null id stay.
+
+    Rows are told apart by id and text, so of different texts with one id each goes or stays with its own group.
+    """
+    text = F.col(text_col).cast("string")
+    row = F.xxhash64(F.col(id_col).cast("long"), text).alias("row")
+    groups = near_duplicates(docs.select(row, text.alias("text")), "row", "text", **options).distinct()
+    with_id = docs.where(F.col(id_col).isNotNull())
+    rows = with_id.select(row, F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash")).distinct()
+    kept = groups.join(rows, "row").groupBy("component_id").agg(F.min(F.struct("id", "fingerprint", "text_hash")).alias("one")).select("one.id", "one.text_hash")
+    same = (F.col(id_col).cast("long") == kept.id) & (F.xxhash64(text) == kept.text_hash)
+    return with_id.join(kept, same, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
