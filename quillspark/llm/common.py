@@ -19,9 +19,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset on a local master."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = "file://" + folder
@@ -64,6 +66,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
+def heavy_values(counts: DataFrame, key: str, n: str, most: int = 256) -> list[int]:
+    """Values of ``key`` (long, one row each) that hold over one part in ``most`` of the sum of ``n``: fewer than ``most``."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > F.lit(total // most + 1)).select(key).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], heavy: list[int], by: Column, salts: int = 256) -> DataFrame:
+    """Inner join in which rows of ``left`` whose last key is one of ``heavy`` are dealt over ``salts`` copies of the right row by ``by``."""
+    if not heavy:
+        return left.join(right, on)
+    hot = F.col(on[-1]).isin(heavy)
+    dealt = left.withColumn("_salt", F.when(hot, F.pmod(by, F.lit(salts))).otherwise(0).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared-folder URI and the path within it."""
     return pafs.FileSystem.from_uri(uri)

@@ -1,16 +1,25 @@
 """Substring deduplication of word windows by compressed FM-indexes, one for each shard.
 
-A shard holds contexts around equal triggers (see repeats). Its words are numbered; the contexts lie
-behind one another, each ended by a separator of its own; prefix doubling gives their suffix array and
-this the Burrows-Wheeler transform, kept as a wavelet matrix of packed bit vectors with counts by block.
-Contexts stream over the index word by word from the right: backward search narrows the suffixes that
-begin with what has been read, and a position's matching statistic grows while two suffixes are left.
-Positions whose statistic reaches the length of a window report the window.
+A shard holds contexts around equal triggers (see repeats). Its words are numbered; the contexts lie behind one
+another, each with an end of its own; prefix doubling gives their suffix array and this the
+Burrows-Wheeler transform, kept as a wavelet matrix of packed bit vectors with counts by block.
+
+Contexts stream over the index from the right, word by word. A stream carries the interval of the suffixes that begin with
+its match, the longest from here on that occurs twice; backward search puts the next word before it. If the longer match
+does not occur twice, the match is cut at its end to the next shorter one that more suffixes begin with (the parent
+interval, by common lengths of neighbouring suffixes) and the word is tried again. The length at each position
+is its matching statistic; positions where it reaches a window report the window. Equal contexts are in the
+index once with their number, which counts as so many occurrences, and stream once for all documents that hold them.
+
+Null texts have no words, texts under 35 words stay whole; null ids and repeated rows each give a row (and repeated rows
+repeat one another); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -65,70 +74,91 @@ class WaveletMatrix:
         return self.walk(symbol, i) - self.first[symbol]
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    n, step = len(rank), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        order = np.argsort(key := rank * (n + 2) + after, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if n else np.empty(0, np.int64)
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if not n or new[-1] == n - 1 or step >= n:
-            return order
-
-
 class FMIndex:
-    """Backward search over texts of numbered words (from 1 on); words are shared between texts, ends are not."""
+    """Backward search over texts of numbered words (from 1 on), text k counting ``n[k]`` times."""
 
-    def __init__(self, texts: np.ndarray, sizes: np.ndarray, n_words: int):
+    def __init__(self, texts: np.ndarray, sizes: np.ndarray, n_words: int, n: np.ndarray | None = None):
         m = len(sizes)
-        ends = np.cumsum(sizes + 1) - 1
+        self.ends = np.cumsum(sizes + 1) - 1
         symbols = np.zeros(len(texts) + m, np.int64)
         inner = np.ones(len(symbols), bool)
-        inner[ends] = False
+        inner[self.ends] = False
         symbols[inner] = texts
-        distinct = symbols + m
-        distinct[ends] = np.arange(m)
-        order = suffix_array(distinct)
-        self.n = len(symbols)
+        of = np.repeat(np.arange(m), sizes + 1)
+        left = self.ends[of] - np.arange(len(symbols)) + 1
+        levels: list[np.ndarray] = []
+        # Suffixes that are equal to their ends stand in the order of their texts, as ends of their own would have it.
+        order = np.argsort(windows.suffix_ranks(symbols, left, levels=levels), kind="stable")
+        self.n, self.symbols = len(symbols), symbols
         self.bwt = WaveletMatrix(symbols[order - 1], n_words + 1)
         counts = np.bincount(symbols, minlength=n_words + 1)
         self.start = np.cumsum(counts) - counts
+        self.weight = np.concatenate([[0], np.cumsum((np.ones(m, np.int64) if n is None else n)[of[order]])])
+        self._neighbours(order, left, levels)
+
+    def _neighbours(self, order: np.ndarray, left: np.ndarray, levels: list[np.ndarray]) -> None:
+        """Common lengths of neighbouring suffixes, and where the next smaller one stands on each side."""
+        a, b = order[:-1], order[1:]
+        common = np.zeros(len(a), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            rank = levels[k]
+            same = rank[np.minimum(a + common, self.n - 1)] == rank[np.minimum(b + common, self.n - 1)]
+            common += same << k
+        common = np.minimum(common, np.minimum(left[a], left[b]) - 1)
+        self.common = np.concatenate([[-1], common, [-1]])
+        self.before, self.behind = np.zeros(self.n + 1, np.int64), np.full(self.n + 1, self.n)
+        places = np.arange(self.n + 1)
+        for d in range(int(common.max(initial=-1)) + 1):
+            here = np.flatnonzero(self.common == d)
+            if len(here):
+                smaller = places[self.common < d]
+                at = np.searchsorted(smaller, here)
+                self.before[here], self.behind[here] = smaller[at - 1], smaller[at]
 
     def extend(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.start[word] + self.bwt.rank(word, lo), self.start[word] + self.bwt.rank(word, hi)
-
-    def matching(self, texts: np.ndarray, last: np.ndarray, length: int, least: int = 2) -> np.ndarray:
-        """For each position ``last`` (of a text's words) how many words up to and with it, ``length`` at most, occur ``least`` times or more."""
-        statistic = np.zeros(len(last), np.int64)
-        live = np.arange(len(last))
-        lo, hi = np.zeros(len(last), np.int64), np.full(len(last), self.n, np.int64)
-        for step in range(length):
-            lo, hi = self.extend(texts[last[live] - step], lo, hi)
-            enough = hi - lo >= least
-            live, lo, hi = live[enough], lo[enough], hi[enough]
-            statistic[live] = step + 1
-            if not len(live):
-                break
-        return statistic
-
-
-def resolve(group: np.ndarray, contexts: list[bytes], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = self.start[np.concatenate([word, word])] + self.bwt.rank(np.concatenate([word, word]), np.concatenate([lo, hi]))
+        return both[: len(word)], both[len(word) :]
+
+    def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The interval of the longest shorter match that more suffixes begin with, and its length."""
+        left, right = self.common[lo], self.common[hi]
+        depth = np.maximum(left, right)
+        return np.where(left == depth, self.before[lo], lo), np.where(right == depth, self.behind[hi], hi), np.maximum(depth, 0)
+
+    def matching(self, least: int = 2) -> np.ndarray:
+        """For each symbol of the texts how many, from it on in its text, occur ``least`` times or more."""
+        statistic = np.zeros(self.n, np.int64)
+        first = np.concatenate([[0], self.ends[:-1] + 1])
+        at, lo, hi, size = self.ends - 1, np.zeros(len(first), np.int64), np.full(len(first), self.n), np.zeros(len(first), np.int64)
+        while True:
+            live = at >= first
+            if not live.all():
+                at, lo, hi, size, first = at[live], lo[live], hi[live], size[live], first[live]
+            if not len(at):
+                return statistic
+            x, y = self.extend(self.symbols[at], lo, hi)
+            longer = self.weight[y] - self.weight[x] >= least
+            up, down, shorter = self.parent(lo, hi)
+            size = np.where(longer, size + 1, shorter)
+            # A word that does not occur often enough by itself has no match.
+            moved = longer | ((lo == 0) & (hi == self.n))
+            size[moved & ~longer] = 0
+            statistic[at[moved]] = size[moved]
+            lo, hi = np.where(longer, x, up), np.where(longer, y, down)
+            at = at - moved
+
+
+def repeated(contexts: list[bytes], lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each window of each context, in order, occurs twice or more; context k occurs n[k] times."""
     split = [c.split() for c in contexts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    number: dict[bytes, int] = {}
-    texts = np.array([number.setdefault(w, len(number) + 1) for c in split for w in c], np.int64)
-    index = FMIndex(texts, sizes, len(number))
+    number: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+    texts = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    index = FMIndex(texts, sizes, len(number), n)
     counts = lo - hi + 1
-    c = np.repeat(np.arange(len(split)), counts)
-    begin = np.arange(len(c)) - np.repeat(np.cumsum(counts) - counts, counts)
-    last = np.repeat(np.cumsum(sizes) - sizes, counts) + begin + SHAPE.length - 1
-    found = index.matching(texts, last, SHAPE.length) >= SHAPE.length
-    return c[found], (lo[c] - begin)[found]
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    return index.matching()[at] >= SHAPE.length
 
 
 def word_grams(some: list[list[bytes]]) -> np.ndarray:
@@ -136,20 +166,20 @@ def word_grams(some: list[list[bytes]]) -> np.ndarray:
     return np.array([*(digest(w) for s in some for w in s), *[0] * (2 * SHAPE.length)], np.uint64)
 
 
-UNIT = repeats.Unit(shape=SHAPE, split=lambda text: text.encode().split(), grams=word_grams, pack=b" ".join, unpack=bytes.split, resolve=resolve)
+UNIT = repeats.Unit(shape=SHAPE, split=lambda text: text.encode().split(), grams=word_grams, pack=b" ".join, unpack=bytes.split, repeated=repeated)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2_000) -> DataFrame:
     """(id, kept_text, n_words, n_removed, kept_sha256): each text's words, by one space, without those of 35-word windows that also start elsewhere."""
-    return _run(docs, id_col, text_col, hot, True)
+    return _run(docs, id_col, text_col, most, True)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2_000) -> DataFrame:
     """The same without the kept text."""
-    return _run(docs, id_col, text_col, hot, False)
+    return _run(docs, id_col, text_col, most, False)
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, hot: int, texts: bool) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, text_col: str, most: int, texts: bool) -> DataFrame:
     def row(s: list[bytes], removed: list[tuple[int, int]]) -> tuple:
         words = [w for part in repeats.kept(s, removed) for w in part]
         left = b" ".join(words)
@@ -157,7 +187,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, hot: int, texts: bool) ->
         return (left.decode(), *counts) if texts else counts
 
     fields = [("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
-    return repeats.reduce_texts(docs, UNIT, id_col, text_col, hot, [("kept_text", pa.string(), "string"), *fields] if texts else fields, row)
+    return repeats.reduce_texts(docs, UNIT, id_col, text_col, most, [("kept_text", pa.string(), "string"), *fields] if texts else fields, row)
 
 
 ORACLE = r"""

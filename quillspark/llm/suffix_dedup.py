@@ -1,18 +1,19 @@
 """Suffix-array deduplication of long byte strings by prefix-free parsing.
 
-A rolling-hash trigger ends each phrase, so no proper suffix of a phrase that holds the trigger is a
-prefix of another, and the order of two suffixes is decided by the rest of their phrases first and by
-what follows the trigger second. In a shard of contexts around equal triggers the phrases' ends form
-the dictionary and what follows them the parse:
-
-- the dictionary is ordered by its phrases read backwards from the trigger, with the common lengths of
-  neighbours: suffixes of length k are equal within runs of common length k or more;
-- the parse is ordered by its suffixes to the depth of a window, with the common lengths of neighbours:
-  what follows is equal to depth d within runs of common length d or more;
-- both combine to the corpus order at the depth of a window: a window k bytes before the trigger occurs
-  elsewhere if another context has the same run at depth k and at depth length - k.
-
-Sharding, hot triggers and the rows that need no shard are described in repeats.
+The contexts of a shard (see repeats) are parsed into phrases: a rolling hash of 8 bytes triggers the end of one
+and the start of the next, both of which hold the trigger, so no suffix of a phrase that is longer than a
+trigger is a prefix of another's and the order of two suffixes of the text is decided by the suffixes of their
+phrases first and by the phrases that follow second.
+
+- The dictionary holds each distinct phrase once; its suffix array ranks all suffixes of phrases, equal ones alike.
+- The parse is the text as a sequence of phrase ranks, in the order of the dictionary; its suffix array ranks what follows.
+- Both combine to the corpus order of the starts of all windows. Neighbours there that have 200 bytes in common,
+  found phrase by phrase and then by bytes, are one window; it occurs as often as the contexts that hold it.
+
+Overlapping contexts and copies cost the dictionary nothing, which is what the method is for.
+
+Null texts are empty, texts under 200 bytes stay whole; null ids and repeated rows each give a row (and repeated rows repeat
+one another); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,50 +27,83 @@ from pyspark.sql import DataFrame
 from quillspark.llm import repeats, windows
 
 SHAPE = windows.BYTES
-
-
-def ordered(group: np.ndarray, strings: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): the order of rows by group and string, and each row's common length with the one before it, -1 at a group's start."""
-    number = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])).astype(">u4")
-    table = np.concatenate([number.view(np.uint8).reshape(-1, 4), strings], axis=1)
-    order = np.argsort(np.ascontiguousarray(table).view(f"S{table.shape[1]}").reshape(-1), kind="stable")
-    rows, held = table[order], sizes[order]
-    differ = rows[1:] != rows[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), table.shape[1]) - 4
-    common = np.minimum(common, np.minimum(held[1:], held[:-1]))
-    common[number[order][1:] != number[order][:-1]] = -1
-    return order, np.concatenate([[-1], common])
-
-
-def resolve(group: np.ndarray, contexts: list[bytes], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m = len(contexts)
-    flat = np.frombuffer(b"".join(contexts) + b"\0" * (2 * SHAPE.length), np.uint8)
-    sizes = np.fromiter(map(len, contexts), np.int64, m)
-    trigger = np.cumsum(sizes) - sizes + lo
-    back = np.arange(SHAPE.spread)
-    phrases = np.where(back[None, :] < lo[:, None], flat[np.maximum(trigger[:, None] - 1 - back[None, :], 0)], 0).astype(np.uint8)
-    after = np.arange(SHAPE.length)
-    follows = np.where(after[None, :] < (SHAPE.length - hi)[:, None], flat[trigger[:, None] + after[None, :]], 0).astype(np.uint8)
-    by_phrase, phrase_common = ordered(group, phrases, lo)
-    by_parse, parse_common = ordered(group, follows, SHAPE.length - hi)
-    out_c, out_k = [], []
-    run_of_phrase, run_of_parse = np.empty(m, np.int64), np.empty(m, np.int64)
-    for k in range(int(hi.min()), int(lo.max()) + 1):
-        has = np.flatnonzero((hi <= k) & (k <= lo))
-        if len(has) < 2:
-            continue
-        run_of_phrase[by_phrase] = np.cumsum(phrase_common < k)
-        run_of_parse[by_parse] = np.cumsum(parse_common < SHAPE.length - k)
-        both = run_of_phrase[has] * (m + 1) + run_of_parse[has]
-        order = np.argsort(both)
-        same = both[order][1:] == both[order][:-1]
-        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        found = has[order[twice]]
-        out_c.append(found)
-        out_k.append(np.full(len(found), k))
-    if not out_c:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out_c), np.concatenate(out_k)
+#: Bytes of a trigger, and bytes between two of them on average.
+TRIGGER, SPACING = 8, 32
+
+
+def repeated(contexts: list[bytes], lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each window of each context, in order, occurs twice or more; context k occurs n[k] times."""
+    length = SHAPE.length
+    data = b"".join(contexts)
+    flat = np.frombuffer(data + b"\0" * 16, np.uint8)
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    eights = windows.packed(flat)
+
+    # The parse: phrase j is [begin[j], stop[j]), its successor begins at follow[j]; the last of a context ends with it.
+    trigger = windows.mix(eights[: len(data)]) & np.uint64(SPACING - 1) == 0
+    trigger[(ends[:, None] - np.arange(1, TRIGGER)[None, :]).reshape(-1)] = False
+    trigger[starts] = True
+    begin = np.flatnonzero(trigger)
+    number = np.cumsum(trigger) - 1
+    final = number[ends - 1]
+    last = np.zeros(len(begin), bool)
+    last[final] = True
+    follow = np.concatenate([begin[1:], [len(data)]])
+    stop = np.where(last, follow, follow + TRIGGER)
+
+    # The dictionary and the ranks of its suffixes.
+    found: dict[bytes, int] = {}
+    phrase = np.fromiter((found.setdefault(data[x:y], len(found)) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)), np.int64, len(begin))
+    phrases = list(found)
+    lengths = np.fromiter(map(len, phrases), np.int64, len(phrases))
+    heads = np.cumsum(lengths) - lengths
+    letters = np.frombuffer(b"".join(phrases) + b"\0" * 8, np.uint8).astype(np.uint64) + np.uint64(1)
+    left = np.repeat(heads + lengths, lengths) - np.arange(int(lengths.sum()))
+    seven = np.zeros(len(left), np.uint64)
+    for k in range(7):
+        seven = (seven << np.uint64(9)) | np.where(left > k, letters[k : k + len(left)], 0)
+    suffix = windows.suffix_ranks(seven, left, 7)
+
+    # The parse's suffixes, in ranks of phrases.
+    rest = np.repeat(final, np.diff(np.concatenate([[-1], final]))) - np.arange(len(begin)) + 1
+    parse = windows.suffix_ranks(suffix[heads][phrase], rest)
+
+    # The corpus order of the windows' starts.
+    counts = lo - hi + 1
+    of = np.repeat(np.arange(len(contexts)), counts)
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(of))
+    j = number[at]
+    own = suffix[heads[phrase[j]] + at - begin[j]]
+    then = np.where(last[j], 0, parse[np.minimum(j + 1, len(begin) - 1)] + 1)
+    order = np.argsort(own * (len(begin) + 2) + then)
+
+    # Common lengths of neighbours: what is left of equal phrases, then whole phrases, then bytes.
+    p, q = order[:-1], order[1:]
+    common = np.where(own[p] == own[q], follow[j[p]] - at[p], 0)
+    go = np.flatnonzero((common > 0) & (common < length))
+    step = 1
+    while len(go):
+        x, y = j[p[go]] + step, j[q[go]] + step
+        equal = phrase[x] == phrase[y]
+        go, x = go[equal], x[equal]
+        common[go] += follow[x] - begin[x]
+        go = go[common[go] < length]
+        step += 1
+    go = np.flatnonzero(common < length)
+    while len(go):
+        differ = eights[at[p[go]] + common[go]] ^ eights[at[q[go]] + common[go]]
+        more = length - common[go]
+        differ = np.where(more < 8, differ << ((8 - np.minimum(more, 8)) * 8).astype(np.uint64), differ)
+        go = go[differ == 0]
+        common[go] += 8
+        go = go[common[go] < length]
+    run = np.concatenate([[0], np.cumsum(common < length)])
+    often = np.bincount(run, n[of[order]]) >= 2
+    out = np.empty(len(of), bool)
+    out[order] = often[run]
+    return out
 
 
 UNIT = repeats.Unit(
@@ -78,28 +112,28 @@ UNIT = repeats.Unit(
     grams=lambda some: windows.byte_grams(np.frombuffer(b"".join(some) + b"\0" * 2 * SHAPE.length, np.uint8)),
     pack=lambda s: s,
     unpack=lambda s: s,
-    resolve=resolve,
+    repeated=repeated,
 )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2_000) -> DataFrame:
     """(id, kept_bytes, n_bytes, n_removed, n_spans, kept_sha256): each text without the bytes of 200-byte strings that also start elsewhere."""
-    return _run(docs, id_col, text_col, hot, True)
+    return _run(docs, id_col, text_col, most, True)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2_000) -> DataFrame:
     """The same without the kept bytes."""
-    return _run(docs, id_col, text_col, hot, False)
+    return _run(docs, id_col, text_col, most, False)
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, hot: int, texts: bool) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, text_col: str, most: int, texts: bool) -> DataFrame:
     def row(s: bytes, removed: list[tuple[int, int]]) -> tuple:
         left = b"".join(repeats.kept(s, removed))
         counts = (len(s), len(s) - len(left), len(removed), hashlib.sha256(left).hexdigest())
         return (left, *counts) if texts else counts
 
     fields = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
-    return repeats.reduce_texts(docs, UNIT, id_col, text_col, hot, [("kept_bytes", pa.binary(), "binary"), *fields] if texts else fields, row)
+    return repeats.reduce_texts(docs, UNIT, id_col, text_col, most, [("kept_bytes", pa.binary(), "binary"), *fields] if texts else fields, row)
 
 
 #: Bytes as pairs of hexadecimal digits; runs come from the places where coverage starts anew.

@@ -52,12 +52,40 @@ BYTES = Shape(200, 8, 96)
 WORDS = Shape(35, 1, 17)
 
 
-def byte_grams(data: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of 8 bytes."""
+def packed(data: np.ndarray) -> np.ndarray:
+    """All runs of 8 bytes as numbers, the first byte lowest."""
     x = data.astype(np.uint64)
     for step in (1, 2, 4):
         x = x[:-step] | (x[step:] << np.uint64(8 * step))
-    return mix(x)
+    return x
+
+
+def byte_grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of 8 bytes."""
+    return mix(packed(data))
+
+
+def suffix_ranks(first: np.ndarray, left: np.ndarray, step: int = 1, levels: list[np.ndarray] | None = None) -> np.ndarray:
+    """Dense ranks of the suffixes of strings that lie behind one another, by prefix doubling; equal suffixes have equal ranks.
+
+    ``first`` orders suffixes by their first ``step`` symbols, ``left`` says how many symbols each has. The ranks at
+    ``step``, 2 * ``step``, ... symbols join ``levels``.
+    """
+    n = len(first)
+    rank = np.unique(first, return_inverse=True)[1].astype(np.int64)
+    most = int(left.max(initial=0))
+    while True:
+        if levels is not None:
+            levels.append(rank)
+        if step >= most:
+            return rank
+        after = np.zeros(n, np.int64)
+        after[: n - step] = np.where(left[: n - step] > step, rank[step:] + 1, 0)
+        finer = np.unique(rank * (n + 2) + after, return_inverse=True)[1]
+        if finer[-1:] == rank[-1:] and finer.max(initial=0) == rank.max(initial=0):
+            return rank
+        rank = finer
+        step *= 2
 
 
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:

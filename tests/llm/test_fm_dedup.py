@@ -35,12 +35,12 @@ def texts(n=60):
     return [rng.choice([" ", "\n", "  "]).join(x) for x in out]
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_equals_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("most", [2000, 3, 1])
+def test_equals_brute_force(spark, most, monkeypatch):
     monkeypatch.setattr("quillspark.llm.repeats.SHARD", 5)
     some = [*texts(), *(t for t in TEXTS if len(t or "") < 3000)]
-    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(some)], SCHEMA).selectExpr("*", "1 key", "2 near", "3 spans").repartition(5)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fm_dedup.digests(docs, hot=hot).collect()}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(some)], SCHEMA).selectExpr("*", "1 key", "2 near", "3 spans", "4 tag").repartition(5)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fm_dedup.digests(docs, most=most).collect()}
     assert got == dict(enumerate(brute(some)))
 
 
