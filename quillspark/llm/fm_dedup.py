@@ -106,14 +106,13 @@ class FMIndex:
             common += same << k
         common = np.minimum(common, np.minimum(left[a], left[b]) - 1)
         self.common = np.concatenate([[-1], common, [-1]])
-        self.before, self.behind = np.zeros(self.n + 1, np.int64), np.full(self.n + 1, self.n)
-        places = np.arange(self.n + 1)
-        for d in range(int(common.max(initial=-1)) + 1):
-            here = np.flatnonzero(self.common == d)
-            if len(here):
-                smaller = places[self.common < d]
-                at = np.searchsorted(smaller, here)
-                self.before[here], self.behind[here] = smaller[at - 1], smaller[at]
+        self.before, self.behind = np.arange(-1, self.n), np.arange(1, self.n + 2)
+        for smaller in (self.before, self.behind):
+            smaller[[0, -1]] = 0, self.n
+            open_ = np.arange(1, self.n)
+            while len(open_):
+                open_ = open_[self.common[smaller[open_]] >= self.common[open_]]
+                smaller[open_] = smaller[smaller[open_]]
 
     def extend(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = self.start[np.concatenate([word, word])] + self.bwt.rank(np.concatenate([word, word]), np.concatenate([lo, hi]))

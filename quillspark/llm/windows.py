@@ -66,25 +66,37 @@ def byte_grams(data: np.ndarray) -> np.ndarray:
 
 
 def suffix_ranks(first: np.ndarray, left: np.ndarray, step: int = 1, levels: list[np.ndarray] | None = None) -> np.ndarray:
-    """Dense ranks of the suffixes of strings that lie behind one another, by prefix doubling; equal suffixes have equal ranks.
+    """Ranks of the suffixes of strings that lie behind one another, by prefix doubling; equal suffixes have equal ranks.
 
-    ``first`` orders suffixes by their first ``step`` symbols, ``left`` says how many symbols each has. The ranks at
-    ``step``, 2 * ``step``, ... symbols join ``levels``.
+    ``first`` orders suffixes by their first ``step`` symbols, ``left`` says how many symbols each has. A rank is the number
+    of smaller suffixes, so only suffixes that are still tied are sorted again. The ranks at ``step``, 2 * ``step``, ...
+    symbols join ``levels``.
     """
     n = len(first)
-    rank = np.unique(first, return_inverse=True)[1].astype(np.int64)
-    most = int(left.max(initial=0))
+    tied = np.argsort(first)
+    new = np.concatenate([[True], first[tied][1:] != first[tied][:-1]])[:n]
+    rank = np.empty(n, np.int64)
+    rank[tied] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     while True:
         if levels is not None:
             levels.append(rank)
-        if step >= most:
+        starts = np.flatnonzero(new)
+        if len(starts):
+            sizes = np.diff(np.concatenate([starts, [len(tied)]]))
+            open_ = (sizes > 1) & (np.maximum.reduceat(left[tied], starts) > step)
+            tied = tied[np.repeat(open_, sizes)]
+        if not len(tied):
             return rank
-        after = np.zeros(n, np.int64)
-        after[: n - step] = np.where(left[: n - step] > step, rank[step:] + 1, 0)
-        finer = np.unique(rank * (n + 2) + after, return_inverse=True)[1]
-        if finer[-1:] == rank[-1:] and finer.max(initial=0) == rank.max(initial=0):
-            return rank
-        rank = finer
+        after = np.where(left[tied] > step, rank[np.minimum(tied + step, n - 1)] + 1, 0)
+        key = rank[tied] * (n + 2) + after
+        order = np.argsort(key)
+        tied, key = tied[order], key[order]
+        old, places = rank[tied], np.arange(len(tied))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), places, 0))
+        finer = old + np.maximum.accumulate(np.where(new, places, 0)) - group
+        rank = rank if levels is None else rank.copy()
+        rank[tied] = finer
         step *= 2
 
 
