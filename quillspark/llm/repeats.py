@@ -201,23 +201,33 @@ def block_contexts(contexts: DataFrame, unit: Unit, level: int) -> DataFrame:
     return contexts.mapInArrow(run, CONTEXT + ", of_near long, of_whole long")
 
 
-def in_blocks(contexts: DataFrame, unit: Unit, most: int, spent: list[DataFrame], level: int = 1) -> DataFrame:
-    """(near, whole, run) of contexts whose groups are too large for a shard; what it writes joins ``spent``."""
-    blocks = materialize(block_contexts(contexts, unit, level), "blocks")
-    parts = blocks.groupBy("near", "whole").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.first(F.struct("owner", "spot", "lo", "hi", "context")).alias("one"))
-    parts = materialize(parts.select("one.owner", "one.spot", "near", "whole", "n", "one.lo", "one.hi", "one.context", "rows"), "parts")
-    crowded = materialize(parts.groupBy("near").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most), "crowded")
-    spent += [blocks, parts, crowded]
-    rows = parts.drop("rows")
-    if crowded.isEmpty() or 1 << level >= unit.shape.spread:
-        found = in_shards(rows, unit)
-    else:
-        again = salted_join(rows, crowded.select("near"), ["near"], heavy_values(crowded, "near", "kinds"), F.col("whole"))
-        found = in_shards(rows.join(crowded, "near", "left_anti"), unit).union(in_blocks(again, unit, most, spent, level + 1))
-    found = materialize(found, "found")
+def resolved(quiet: DataFrame, crowd: DataFrame | None, unit: Unit, most: int, spent: list[DataFrame]) -> DataFrame:
+    """(near, whole, run) of the contexts of ``quiet`` and of ``crowd``, whose groups are too large for a shard; what it writes joins ``spent``.
+
+    Blocks have names of their own, so all of them go to the shards together; what they repeat goes back to the contexts they are of.
+    """
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    while crowd is not None:
+        blocks = materialize(block_contexts(crowd, unit, len(levels) + 1), "blocks")
+        parts = blocks.groupBy("near", "whole").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.first(F.struct("owner", "spot", "lo", "hi", "context")).alias("one"))
+        parts = materialize(parts.select("one.owner", "one.spot", "near", "whole", "n", "one.lo", "one.hi", "one.context", "rows"), "parts")
+        crowded = materialize(parts.groupBy("near").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most), "crowded")
+        levels.append((blocks, parts))
+        spent += [blocks, parts, crowded]
+        rows = parts.drop("rows")
+        if crowded.isEmpty() or 1 << len(levels) >= unit.shape.spread:
+            quiet, crowd = quiet.union(rows), None
+        else:
+            quiet = quiet.union(rows.join(crowded, "near", "left_anti").select(quiet.columns))
+            crowd = salted_join(rows, crowded.select("near"), ["near"], heavy_values(crowded, "near", "kinds"), F.col("whole"))
+    found = materialize(in_shards(quiet, unit), "resolved")
     spent.append(found)
-    back = salted_join(blocks.select("near", "whole", "of_near", "of_whole"), found, ["near", "whole"], heavy_values(parts, "whole", "rows"), F.col("of_whole"))
-    return back.select(F.col("of_near").alias("near"), F.col("of_whole").alias("whole"), "run")
+    for blocks, parts in reversed(levels):
+        names = blocks.select("near", "whole", "of_near", "of_whole")
+        back = salted_join(names, found, ["near", "whole"], heavy_values(parts, "whole", "rows"), F.col("of_whole"))
+        found = materialize(found.union(back.select("of_near", "of_whole", "run")), "resolved")
+        spent.append(found)
+    return found
 
 
 def repeated_spans(texts: DataFrame, unit: Unit, most: int) -> DataFrame:
@@ -234,11 +244,9 @@ def repeated_spans(texts: DataFrame, unit: Unit, most: int) -> DataFrame:
     homes = groups.select("near", "kinds", F.when(alone, F.col("near")).otherwise(F.col("home.key")).alias("owner"), F.when(alone, 0).otherwise(F.col("home.place")).alias("spot"))
     chosen = salted_join(contexts, homes, ["near"], heavy_values(groups, "near", "kinds"), F.col("whole"))
     spent = [twice, candidates, contexts, groups]
-    found = in_shards(cut_contexts(texts, chosen.where(F.col("kinds") <= most), unit), unit)
-    if not groups.where(F.col("kinds") > most).isEmpty():
-        found = found.union(in_blocks(cut_contexts(texts, chosen.where(F.col("kinds") > most), unit), unit, most, spent))
-    found = materialize(found, "resolved")
-    spent.append(found)
+    crowd = chosen.where(F.col("kinds") > most)
+    crowd = None if groups.where(F.col("kinds") > most).isEmpty() else cut_contexts(texts, crowd, unit)
+    found = resolved(cut_contexts(texts, chosen.where(F.col("kinds") <= most), unit), crowd, unit, most, spent)
     places = salted_join(candidates, found, ["near", "whole"], heavy_values(contexts, "whole", "n"), F.xxhash64("key", "place"))
     at = F.shiftright("place", 16)
     begin, end = at - F.shiftright("run", 8), at - F.col("run").bitwiseAND(255) + unit.shape.length
