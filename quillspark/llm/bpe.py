@@ -7,8 +7,8 @@ looked up, and their positions join the affected lists. A merge can only create
 rank (checked when the vocabulary is loaded), so this order is that of merging each word alone.
 
 Null texts count as empty; null ids and repeated rows each give their own row; an empty table
-gives an empty result; other columns are ignored. Texts with characters whose class differs
-between Unicode versions are encoded whole by the library.
+gives an empty result; other columns are ignored. Around a character whose class differs between
+Unicode versions the stretch up to the next plain spaces is encoded by the library.
 """
 
 from __future__ import annotations
@@ -166,12 +166,14 @@ class Codec:
         new = list(self.number)[self.known :] if self.known < len(self.number) else []
         if not new:
             return
-        special = {k: self.lib.specials[p] for k, p in enumerate(new) if p in self.lib.specials}
-        ids, sizes = self.bpe.encode([b"" if k in special else p.encode() for k, p in enumerate(new)])
-        if special:
-            where = np.concatenate([[0], np.cumsum(sizes)])[list(special)]
-            ids = np.insert(ids, where, list(special.values()))
-            sizes[list(special)] = 1
+        other = {k: self.lib.encode(p) for k, p in enumerate(new) if p in self.lib.specials or not self.lib.splittable(p)}
+        ids, sizes = self.bpe.encode([b"" if k in other else p.encode() for k, p in enumerate(new)])
+        if other:
+            places = list(other)
+            counts = [len(x) for x in other.values()]
+            where = np.concatenate([[0], np.cumsum(sizes)])[places]
+            ids = np.insert(ids, np.repeat(where, counts), np.concatenate([np.array(x, np.int64) for x in other.values()]))
+            sizes[places] = counts
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.known = len(self.number)
@@ -182,9 +184,9 @@ class Codec:
         if len(self.number) > MAX_CACHED:
             self.clear()
         number = self.number.__getitem__
-        pieces = [np.fromiter(map(number, self.lib.pretokens(x)), np.int32) if self.lib.splittable(x) else None for x in texts]
+        pieces = [np.fromiter(map(number, self.lib.pretokens(x)), np.int32) for x in texts]
         self.learn()
-        return [np.array(self.lib.encode(x), np.int32) if p is None else self.gather(p) for x, p in zip(texts, pieces, strict=True)]
+        return [self.gather(p) for p in pieces]
 
     def gather(self, pieces: np.ndarray) -> np.ndarray:
         begin = self.starts[pieces]

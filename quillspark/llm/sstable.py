@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm import common, tokens
-from quillspark.llm.bpe import codec, stretches
+from quillspark.llm.bpe import stretches
 
 MAGIC = b"QSST0002"
 FOOTER = struct.Struct("<5QIB8s")
@@ -179,30 +179,18 @@ class Reader:
         return found
 
 
-_FAST: dict = {}
+_PIECES: dict[tuple[str, int], tokens.Pieces] = {}
 
 
-def encoder(path: str):
-    """Texts -> id arrays. Where the ids of a byte-level vocabulary ascend as its merges do, a rank-based
-    encoder of the same vocabulary gives the library's ids faster; texts it might split otherwise go to the library."""
-    if path in _FAST:
-        return _FAST[path]
+def encoder(path: str, width: int):
+    """Texts -> the bytes of their ids, ``width`` to an id, by the tokenizers library: once for each distinct pre-token where texts can be split."""
     lib = tokens.load(path)
-    c = codec(path)
-    if c.bpe is None or (np.diff(c.bpe.index.merged) <= 0).any() or c.bpe.index.merged.min() < 256:
-        _FAST[path] = c.encode
-        return c.encode
-    import tiktoken
-
-    ranks = {v: k for k, v in c.bpe.token_bytes.items() if k not in lib.specials.values()}
-    fast = tiktoken.Encoding("same", pat_str=tokens.BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=lib.specials)
-    names = set(lib.specials)
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(fast.encode_to_numpy(x, allowed_special=names)) if lib.splittable(x) else np.array(lib.encode(x)) for x in texts]
-
-    _FAST[path] = encode
-    return encode
+    pack = lambda ids: np.array(ids, f"<u{width}").tobytes()
+    if not isinstance(lib, tokens.ByteLevel):
+        return lambda texts: [pack(ids) for ids in lib.encode_many(texts)]
+    if (path, width) not in _PIECES:
+        _PIECES[path, width] = tokens.Pieces(lib, pack)
+    return lambda texts: [b"".join(x) for x in _PIECES[path, width].of(texts)]
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 2, shards: int | None = None) -> DataFrame:
@@ -210,13 +198,13 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     path = path or tokens.default_path()
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path)
         width = 2 if max(tokens.load(path).model.get_vocab_size() if path.endswith(".json") else tokens.load(path).model.get_piece_size(), (end_id or 0) + 1) <= 1 << 16 else 4
+        encode = encoder(path, width)
+        tail = b"" if end_id is None else end_id.to_bytes(width, "little")
         shard = TaskContext.get().partitionId()
         fs, root = common.filesystem(folder)
         fs.create_dir(root, recursive=True)
@@ -232,9 +220,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                         writer = Writer(out, width=width)
                     key = key_of(i)
                     first, last = first if docs_seen else key, key
-                    value = np.concatenate([ids, tail]).astype(f"<u{width}")
-                    writer.add(key, value.tobytes())
-                    docs_seen, ids_seen = docs_seen + 1, ids_seen + len(value)
+                    writer.add(key, ids + tail)
+                    docs_seen, ids_seen = docs_seen + 1, ids_seen + (len(ids) + len(tail)) // width
         if writer is not None:
             writer.close()
             out.close()

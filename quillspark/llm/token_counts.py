@@ -1,10 +1,11 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a broadcast table of the lengths, in tokens, of frequent pre-tokens; it has at most
-``max_frequent`` entries, learnt from a random sample of about ``sample_docs`` texts of the whole
-input. Tier two is each Python worker's own cache: pre-tokens that tier one lacks are encoded
-once by the library, at most ``max_cached`` at a time. No pre-token is ever shuffled, and the
-sample only decides what is looked up where, never a count.
+Tier one is a compact table of the lengths, in tokens, of frequent pre-tokens: one string array and one
+byte array of at most ``max_frequent`` entries, broadcast once and hashed once by each worker, which never changes it.
+It is learnt from a random sample of about ``sample_docs`` texts of the whole input. Tier two is each Python
+worker's own cache: pre-tokens that tier one lacks are encoded once by the library, at most
+``max_cached`` at a time. No pre-token is ever shuffled, and the sample only decides what is looked up
+where, never a count.
 
 Null texts count as empty; null ids and repeated rows each give their own row; an empty table
 gives an empty result; other columns are ignored.
@@ -23,21 +24,39 @@ from pyspark.sql import functions as F
 from quillspark.llm import tokens
 
 CHUNK_BYTES = 2_000_000
-_CACHE: dict = {}
+_TIERS: dict[str, Tiers] = {}
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_docs: int, max_frequent: int, per_doc: int = 256) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a random sample; each sampled text sends at most ``per_doc`` entries."""
+class Tiers(dict):
+    """Tier one as a dictionary; what it lacks is looked up in tier two."""
+
+    def __init__(self, table: tuple[pa.Array, pa.Array], t: tokens.ByteLevel, max_cached: int):
+        super().__init__(zip(table[0].to_pylist(), table[1].to_pylist(), strict=True))
+        self.cache = tokens.Pieces(t, len, max_cached)
+
+    def __missing__(self, piece: str) -> int:
+        return self.cache.known[piece]
+
+    def count(self, texts: list[str]) -> list[int]:
+        split = [self.cache.lib.pretokens(x) for x in texts]
+        self.cache.learn(set().union(*split) - self.keys())
+        get = self.__getitem__
+        return [sum(map(get, s)) for s in split]
+
+
+def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_docs: int, max_frequent: int, per_doc: int = 256) -> tuple[pa.Array, pa.Array]:
+    """The most frequent pre-tokens of a random sample and their lengths; each sampled text sends at most ``per_doc`` entries."""
+    nothing = pa.array([], pa.string()), pa.array([], pa.uint8())
     if not tokens.ByteLevel.fits(path):
-        return {}
+        return nothing
     n = docs.count()
     if not n:
-        return {}
+        return nothing
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.load(path)
         for b in batches:
-            top = [x for text in b.column(0).to_pylist() if t.splittable(text) for x in Counter(t.pretokens(text)).most_common(per_doc)]
+            top = [x for text in b.column(0).to_pylist() for x in Counter(t.pretokens(text)).most_common(per_doc)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["piece", "n"])
 
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null").sample(min(1.0, sample_docs / n), seed=1)
@@ -46,7 +65,8 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_docs: int
         total[row.piece] += row.n
     pieces = [p for p, _ in total.most_common(max_frequent)]
     t = tokens.load(path)
-    return {p: 1 if p in t.specials else len(ids) for p, ids in zip(pieces, t.encode_many(pieces), strict=True)}
+    table = [(p, len(ids)) for p, ids in zip(pieces, t.encode_many(pieces), strict=True) if len(ids) < 256]
+    return pa.array([p for p, _ in table], pa.string()), pa.array([k for _, k in table], pa.uint8())
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 512, sample_docs: int = 2000, max_frequent: int = 65_536, max_cached: int = 600_000) -> DataFrame:
@@ -59,20 +79,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def counted(t: tokens.Library, texts: list[str]) -> list[int]:
         if not isinstance(t, tokens.ByteLevel):
             return [len(x) for x in t.encode_many(texts)]
-        if _CACHE.get("of") != path:
-            _CACHE.update(of=path, lengths=dict(shared.value))
-        if len(_CACHE["lengths"]) > max_cached + max_frequent:
-            _CACHE["lengths"] = dict(shared.value)
-        lengths = _CACHE["lengths"]
-        split = [t.pretokens(x) if t.splittable(x) else None for x in texts]
-        unseen = {p for s in split if s is not None for p in s if p not in lengths}
-        new = [p for p in unseen if p not in t.specials]
-        lengths.update(dict.fromkeys(unseen & t.specials.keys(), 1))
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            lengths.update(zip(part, map(len, t.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = lengths.__getitem__
-        return [len(t.encode(x)) if s is None else sum(map(get, s)) for x, s in zip(texts, split, strict=True)]
+        if path not in _TIERS:
+            _TIERS.clear()
+            _TIERS[path] = Tiers(shared.value, t, max_cached)
+        return _TIERS[path].count(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.load(path)

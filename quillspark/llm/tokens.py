@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import regex
 
@@ -12,6 +14,10 @@ import regex
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Places where a pre-token ends whatever stands farther off: before a single space between ASCII characters.
+CUT = regex.compile(r"(?<=[!-~])(?= [!-~])")
+
+
 def default_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -86,7 +92,7 @@ class ByteLevel(Library):
         return model.get("type") == "BPE" and plain and bare and flags
 
     def splittable(self, text: str) -> bool:
-        """False if a character's class differs between Unicode versions; the library then encodes the whole text."""
+        """False if a character's class differs between Unicode versions."""
         if text.isascii():
             return True
         new = set(text) - self._safe
@@ -97,7 +103,26 @@ class ByteLevel(Library):
         return len(good) == len(new)
 
     def pretokens(self, text: str) -> list[str]:
-        """Pre-tokens in order; a special string is one piece."""
+        """Pieces in order whose ids, behind one another, are the text's: pre-tokens, special strings, and whole
+        stretches around characters whose class differs between Unicode versions (``splittable`` is false for those)."""
+        if self.splittable(text):
+            return self._split(text)
+        if any(" " in s for s in self.specials):
+            return [text]
+        cuts = [0, *(m.start() for m in CUT.finditer(text)), len(text)]
+        out: list[str] = []
+        done = 0
+        for m in regex.finditer("[" + "".join(map(regex.escape, sorted(set(text) - self._safe))) + "]", text):
+            if m.start() < done:
+                continue
+            begin, end = cuts[bisect_right(cuts, m.start()) - 1], cuts[bisect_left(cuts, m.end())]
+            if begin >= done:
+                out += self._split(text[done:begin])
+                out.append(text[begin:end])
+            done = end
+        return out + self._split(text[done:])
+
+    def _split(self, text: str) -> list[str]:
         if self._special is None or not any(s in text for s in self.specials):
             return self.findall(text)
         out: list[str] = []
@@ -106,6 +131,33 @@ class ByteLevel(Library):
         return out
 
 
+class Pieces:
+    """What ``value`` makes of each pre-token's ids, kept in a cache of at most ``most`` pre-tokens and ``most_chars`` characters."""
+
+    def __init__(self, lib: ByteLevel, value: Callable, most: int = 600_000, most_chars: int = 30_000_000):
+        self.lib, self.value, self.most, self.most_chars = lib, value, most, most_chars
+        self.known: dict[str, object] = {}
+        self.chars = 0
+
+    def learn(self, pieces: set[str]) -> None:
+        new = list(pieces - self.known.keys())
+        size = sum(map(len, new))
+        if self.known and (len(self.known) + len(new) > self.most or self.chars + size > self.most_chars):
+            self.known, self.chars, new = {}, 0, list(pieces)
+            size = sum(map(len, new))
+        for k in range(0, len(new), 5000):
+            part = new[k : k + 5000]
+            self.known.update(zip(part, map(self.value, self.lib.encode_many(part)), strict=True))
+        self.chars += size
+
+    def of(self, texts: list[str]) -> list[list]:
+        """The values of each text's pieces."""
+        split = [self.lib.pretokens(x) for x in texts]
+        self.learn(set().union(*split))
+        get = self.known.__getitem__
+        return [list(map(get, s)) for s in split]
+
+
 _LOADED: dict[str, Library] = {}
 
 

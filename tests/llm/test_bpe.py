@@ -37,3 +37,29 @@ def test_whole_texts(spark, name):
 
 def test_empty_table(spark):
     assert bpe.encode_decode_digests(empty(spark)).collect() == []
+
+
+def test_stretches_around_unstable_characters_equal_the_library():
+    lib = tokens.ByteLevel(tokens.default_path())
+    rng = random.Random(9)
+    parts = ["word", " plain", "  ", " 🫠", "🫠", "­", "​", " ​ ", "日本", " it's", "\n\n", "12", ". ", "<|endoftext|>", "͸", "é", "᠎", "\t"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    cut = [lib.pretokens(x) for x in some]
+    assert all("".join(p) == x for p, x in zip(cut, some, strict=True))
+    assert any(not lib.splittable(x) and len(p) > 1 for p, x in zip(cut, some, strict=True))
+    assert [[i for p in s for i in lib.encode(p)] for s in cut] == [lib.encode(x) for x in some]
+    assert [x.tolist() for x in bpe.Codec(tokens.default_path()).encode(some)] == [lib.encode(x) for x in some]
+
+
+#: Runs of one class that are far longer than any backtracking stack.
+RUNS = [" " * 1_500_000 + "x", "\t" * 1_500_000 + "x", "a" * 1_500_000]
+
+
+def test_very_long_runs_equal_the_library(spark):
+    from quillspark.llm import sstable, token_counts
+
+    docs = spark.createDataFrame(list(enumerate(RUNS)), "doc_id long, text string")
+    want = [tokens.Library(tokens.default_path()).encode(x) for x in RUNS]
+    assert {r.doc_id: r.ids for r in bpe.encode(docs).collect()} == dict(enumerate(want))
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == {k: len(x) for k, x in enumerate(want)}
+    assert {r.doc_id: r.n_tokens for r in sstable.write_and_scan(spark, docs).collect()} == {k: len(x) + 1 for k, x in enumerate(want)}
