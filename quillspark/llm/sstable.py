@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import bisect
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -179,18 +181,26 @@ class Reader:
         return found
 
 
+def packer(width: int):
+    """Ids -> little-endian bytes, ``width`` to an id."""
+    kind = {2: "H", 4: "I"}[width]
+    if sys.byteorder == "little":
+        return lambda ids: array(kind, ids).tobytes()
+    return lambda ids: struct.pack(f"<{len(ids)}{kind}", *ids)
+
+
 _PIECES: dict[tuple[str, int], tokens.Pieces] = {}
 
 
 def encoder(path: str, width: int):
-    """Texts -> the bytes of their ids, ``width`` to an id, by the tokenizers library: once for each distinct pre-token where texts can be split."""
+    """Texts -> the bytes of their ids, ``width`` to an id, by the tokenizers library: by pre-token, through a cache, where texts can be split."""
     lib = tokens.load(path)
-    pack = lambda ids: np.array(ids, f"<u{width}").tobytes()
+    pack = packer(width)
     if not isinstance(lib, tokens.ByteLevel):
         return lambda texts: [pack(ids) for ids in lib.encode_many(texts)]
     if (path, width) not in _PIECES:
         _PIECES[path, width] = tokens.Pieces(lib, pack)
-    return lambda texts: [b"".join(x) for x in _PIECES[path, width].of(texts)]
+    return lambda texts: [b"".join(_PIECES[path, width].of(x)) for x in texts]
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 2, shards: int | None = None) -> DataFrame:

@@ -3,8 +3,8 @@
 Tier one is a compact table of the lengths, in tokens, of frequent pre-tokens: one string array and one
 byte array of at most ``max_frequent`` entries, broadcast once and hashed once by each worker, which never changes it.
 It is learnt from a random sample of about ``sample_docs`` texts of the whole input. Tier two is each Python
-worker's own cache: pre-tokens that tier one lacks are encoded once by the library, at most
-``max_cached`` at a time. No pre-token is ever shuffled, and the sample only decides what is looked up
+worker's own cache: pre-tokens that tier one lacks are encoded by the library, and the first ``max_cached``
+of them are kept. No pre-token is ever shuffled, and the sample only decides what is looked up
 where, never a count.
 
 Null texts count as empty; null ids and repeated rows each give their own row; an empty table
@@ -35,13 +35,10 @@ class Tiers(dict):
         self.cache = tokens.Pieces(t, len, max_cached)
 
     def __missing__(self, piece: str) -> int:
-        return self.cache.known[piece]
+        return self.cache[piece]
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [self.cache.lib.pretokens(x) for x in texts]
-        self.cache.learn(set().union(*split) - self.keys())
-        get = self.__getitem__
-        return [sum(map(get, s)) for s in split]
+        return [sum(map(self.__getitem__, self.cache.lib.pretokens(x))) for x in texts]
 
 
 def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_docs: int, max_frequent: int, per_doc: int = 256) -> tuple[pa.Array, pa.Array]:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import regex
 
@@ -14,6 +15,11 @@ import regex
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: ASCII and the Latin-1 letters: for texts of these alone the standard library's engine splits the same way, and faster.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = frozenset(chr(c) for c in [*range(0x1C), *range(0x20, 0x80), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+PLAIN_PATTERN = BYTE_LEVEL_PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LATIN}0-9]").replace(r"\p{L}", f"[{LATIN}]").replace(r"\p{N}", "[0-9]")
+
 #: Places where a pre-token ends whatever stands farther off: before a single space between ASCII characters.
 CUT = regex.compile(r"(?<=[!-~])(?= [!-~])")
 
@@ -74,7 +80,7 @@ class ByteLevel(Library):
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        self.findall = regex.compile(BYTE_LEVEL_PATTERN).findall
+        self._any, self._plain = regex.compile(BYTE_LEVEL_PATTERN).findall, re.compile(PLAIN_PATTERN).findall
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self._safe: set[str] = set()
 
@@ -123,39 +129,31 @@ class ByteLevel(Library):
         return out + self._split(text[done:])
 
     def _split(self, text: str) -> list[str]:
+        findall = self._plain if PLAIN.issuperset(text) else self._any
         if self._special is None or not any(s in text for s in self.specials):
-            return self.findall(text)
+            return findall(text)
         out: list[str] = []
         for part in self._special.split(text):
-            out.extend([part] if part in self.specials else self.findall(part))
+            out.extend([part] if part in self.specials else findall(part))
         return out
 
 
-class Pieces:
-    """What ``value`` makes of each pre-token's ids, kept in a cache of at most ``most`` pre-tokens and ``most_chars`` characters."""
-
-    def __init__(self, lib: ByteLevel, value: Callable, most: int = 600_000, most_chars: int = 30_000_000):
-        self.lib, self.value, self.most, self.most_chars = lib, value, most, most_chars
-        self.known: dict[str, object] = {}
-        self.chars = 0
-
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces - self.known.keys())
-        size = sum(map(len, new))
-        if self.known and (len(self.known) + len(new) > self.most or self.chars + size > self.most_chars):
-            self.known, self.chars, new = {}, 0, list(pieces)
-            size = sum(map(len, new))
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            self.known.update(zip(part, map(self.value, self.lib.encode_many(part)), strict=True))
-        self.chars += size
-
-    def of(self, texts: list[str]) -> list[list]:
-        """The values of each text's pieces."""
-        split = [self.lib.pretokens(x) for x in texts]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        return [list(map(get, s)) for s in split]
+class Pieces(dict):
+    """What ``value`` makes of each pre-token's ids: a cache of the first ``most`` that are met, of ``longest`` characters at most."""
+
+    def __init__(self, lib: ByteLevel, value: Callable, most: int = 600_000, longest: int = 128):
+        super().__init__()
+        self.lib, self.value, self.most, self.longest = lib, value, most, longest
+
+    def __missing__(self, piece: str) -> object:
+        made = self.value(self.lib.encode(piece))
+        if len(self) < self.most and len(piece) <= self.longest:
+            self[piece] = made
+        return made
+
+    def of(self, text: str) -> Iterator:
+        """The values of a text's pieces."""
+        return map(self.__getitem__, self.lib.pretokens(text))
 
 
 _LOADED: dict[str, Library] = {}

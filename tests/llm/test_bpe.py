@@ -63,3 +63,12 @@ def test_very_long_runs_equal_the_library(spark):
     assert {r.doc_id: r.ids for r in bpe.encode(docs).collect()} == dict(enumerate(want))
     assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == {k: len(x) for k, x in enumerate(want)}
     assert {r.doc_id: r.n_tokens for r in sstable.write_and_scan(spark, docs).collect()} == {k: len(x) + 1 for k, x in enumerate(want)}
+
+
+def test_both_engines_split_plain_texts_alike():
+    lib = tokens.ByteLevel(tokens.default_path())
+    rng = random.Random(4)
+    chars = [*tokens.PLAIN, *"       \n\n\t'''sdmetlrv"]
+    for _ in range(20_000):
+        x = "".join(rng.choice(chars) for _ in range(rng.randint(1, 25)))
+        assert lib._plain(x) == lib._any(x)
