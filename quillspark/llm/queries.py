@@ -83,6 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillspark.llm import fm_dedup, suffix_dedup, warc
+    from quillspark.llm import decontaminate, fm_dedup, suffix_dedup, warc
 
-    return {"op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_fm_dedup": fm_dedup.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_fm_dedup": fm_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}

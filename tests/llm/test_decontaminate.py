@@ -60,13 +60,50 @@ def test_radius_is_guaranteed():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    index = decontaminate.Index([(n, f"a{n} b{n} c{n} d{n} e{n} f{n}") for n in range(50)], 5, 23, 8)
+    index = decontaminate.Index([(n, f"a{n} b{n} c{n} d{n} e{n} f{n}") for n in range(50)] + [(50, "g h i")], 5, 20, 7)
     for fp in index.fps.tolist():
-        for d in (0, 5, 15, 23):
+        for d in (0, 5, 15, 20, 23):
             flip = sum(1 << int(b) for b in rng.choice(64, d, replace=False))
             fps = np.array([fp ^ flip], np.uint64)
-            want = np.bitwise_count(fps[:, None] ^ index.fps[None, :]) <= 23
-            assert (index.near(fps, np.arange(50)) == want).all()
+            want = np.flatnonzero(np.bitwise_count(index.fps[:50] ^ fps) <= 20)
+            windows, items = index.near(fps, 6)
+            assert items.tolist() == want.tolist() and not windows.any()
+
+
+def test_repeated_rows_very_long_texts_and_stretches(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCH_BYTES", 1000)
+    rows, items = data()
+    long = " ".join(f"x{k % 977}" for k in range(60_000))
+    rows = [(n, t) for n, (_, t) in enumerate(rows[:40] + rows[:40])] + [(100, long + " " + items[5][1] + " " + long), (None, items[4][1])]
+    items = items + [(5, items[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.start_word) for r in decontaminate.contaminated(docs, bench, most_items=3).collect())
+    want = Counter((d, i, s) for d, t in rows if d != 100 for (_, i), (s, *_) in brute([(d, t)], items[:-1]).items() for _ in range(2 if i == 5 else 1))
+    assert got == want + Counter({(100, 5, 60_000): 2})
+
+
+#: Least share of the windows of similarity 0.8 or more that lie within the radius.
+def test_recall_of_the_radius():
+    import numpy as np
+
+    from quillspark.llm.simhash import shingle_hashes
+
+    rng = random.Random(1)
+    vocab = [f"w{k}" for k in range(3000)]
+    found = []
+    for length in (13, 20, 45, 100):
+        for _ in range(300):
+            item = [rng.choice(vocab) for _ in range(length)]
+            other = list(item)
+            for _ in range(rng.randint(1, max(1, length // 20))):
+                other[rng.randrange(length)] = rng.choice(vocab)
+            a, b = (shingle_hashes(" ".join(x), 5) for x in (item, other))
+            if decontaminate.weighted_similarity(Counter(a.tolist()), Counter(b.tolist())) >= 0.8:
+                x, y = (decontaminate.window_fingerprints(h, len(h))[0] for h in (a, b))
+                found.append(int(np.bitwise_count(x ^ y)) <= 20)
+    assert len(found) > 200
+    assert sum(found) >= 0.99 * len(found)
 
 
 def test_empty_tables(spark):
