@@ -9,13 +9,15 @@ segments share codewords: each pair of segments gives keys of two 12-bit codewor
 meet in a key's bucket, and every meeting is verified by its exact distance.
 
 Equal fingerprints are one node. Buckets hold distinct fingerprints only; one with more than
-``bucket`` of them is cut into blocks and every two blocks meet in a cell of their own, so no task
+``bucket`` of them is keyed anew by parts of its segments: of the two that share codewords at most 2 bits differ in each, so
+one of three parts of either is equal, and of the other segment at most 4, so one of five parts is. Only what is
+still crowded after these three levels is cut into blocks, every two of which meet in a cell of their own; so no task
 holds an unbounded bucket and no pair is lost. A bucket reports a spanning forest of its links, not all pairs.
 
 Null and wordless texts have fingerprint zero and link like any other; texts with fewer words than
 a shingle are one shingle. Component ids are the smallest id reached; null ids count for none, and a
 component of null ids alone has a null one. Repeated rows each give a row. Empty tables give empty
-results; other columns are ignored.
+results; other columns are ignored. Ids are numbers (cast to long).
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, materialize
+from quillspark.llm.common import discard, heavy_values, materialize, salted_join
 from quillspark.llm.components import components
+from quillspark.llm.windows import mix
 
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
@@ -111,7 +114,7 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys of unsigned fingerprints."""
     near = [golay.indices(((fps >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64)) for at, bits in SEGMENTS]
     rows, keys = [], []
-    for n, (a, b) in enumerate(combinations(near, 2)):
+    for n, (a, b) in enumerate((near[x], near[y]) for x, y in PAIRS):
         both = (a[:, :, None] >= 0) & (b[:, None, :] >= 0)
         key = (n << 24) | (a[:, :, None] << 12) | b[:, None, :]
         rows.append(np.broadcast_to(np.arange(len(fps))[:, None, None], both.shape)[both])
@@ -119,6 +122,27 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+#: Pairs of segments in the order of their numbers in keys.
+PAIRS = tuple(combinations(range(3), 2))
+
+
+def part_keys(keys: np.ndarray, fps: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): new keys of rows of crowded buckets; their last two bits number the pair of segments, as the first keys' highest do."""
+    pair = keys >> 24 if level == 0 else keys & 3
+    rows, out = [], []
+    for n, (a, b) in enumerate(PAIRS):
+        at = np.flatnonzero(pair == n)
+        lo, bits = SEGMENTS[(a, b, 3 - a - b)[level]]
+        parts = 3 if level < 2 else 5
+        edges = [lo + bits * k // parts for k in range(parts + 1)]
+        for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+            value = (fps[at] >> np.uint64(x)) & np.uint64((1 << (y - x)) - 1)
+            key = mix(mix(keys[at].astype(np.uint64)) ^ (value << np.uint64(8) | np.uint64(k << 4 | level)))
+            rows.append(at)
+            out.append((key & ~np.uint64(3) | np.uint64(n)).view(np.int64))
+    return np.concatenate(rows), np.concatenate(out)
+
+
 def forest(fps: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect what links of at most ``most`` bits connect among distinct fingerprints."""
     left, out = fps, []
@@ -218,12 +242,29 @@ def links(distinct_fps: DataFrame, most: int = MOST, bucket: int = 4096) -> Data
                 rows, keys = fuzzy_keys(part, golay)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
 
-    rows = distinct_fps.select("fp").mapInArrow(keyed, "key long, fp long")
+    def keyed_again(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fps = np.asarray(b.column(1)).view(np.uint64)
+                rows, keys = part_keys(np.asarray(b.column(0)), fps, level)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows].view(np.int64))], ["key", "fp"])
+
+        return run
+
     parts = int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartition(parts, "key").sortWithinPartitions("key")
-    found = materialize(sorted_rows.mapInArrow(_bucket_mapper(most, bucket), "a long, b long, key long"), "links")
-    near = found.where("b is not null").select("a", "b")
-    over = found.where("b is null").select("key", F.col("a").alias("fp"))
+
+    def met_by_key(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of the buckets, and the rows of crowded ones."""
+        sorted_rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+        found = materialize(sorted_rows.mapInArrow(_bucket_mapper(most, bucket), "a long, b long, key long"), "links")
+        return found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
+
+    near, over = met_by_key(distinct_fps.select("fp").mapInArrow(keyed, "key long, fp long"))
+    for level in range(3):
+        if over.isEmpty():
+            return near.distinct()
+        more, over = met_by_key(over.mapInArrow(keyed_again(level), "key long, fp long"))
+        near = near.union(more)
     if over.isEmpty():
         return near.distinct()
     # Every two blocks of an oversized bucket meet in one cell; cells are numbered by (key, lower block, higher block).
@@ -238,13 +279,14 @@ def links(distinct_fps: DataFrame, most: int = MOST, bucket: int = 4096) -> Data
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, most: int = MOST, bucket: int = 4096) -> DataFrame:
     """(id, fingerprint, component_id) of every row."""
     rows = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
     member = components(links(nodes, most, bucket), "a", "b")
-    of = nodes.join(member, nodes.fp == member.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = materialize(of.join(lowest, "component").select("fp", "component_id"), "components")
-    discard(nodes)
-    joined = rows.join(named, "fp")
+    of = materialize(nodes.join(member, nodes.fp == member.node, "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component")), "members")
+    lowest = materialize(of.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "lowest")
+    named = salted_join(of.select("fp", "component"), lowest.drop("n"), ["component"], heavy_values(lowest, "component", "n"), F.col("fp"))
+    named = materialize(named.select("fp", "component_id"), "components")
+    joined = salted_join(rows, named, ["fp"], heavy_values(nodes, "fp", "n"), F.xxhash64("id"))
+    discard(nodes, of, lowest)
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
