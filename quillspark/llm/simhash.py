@@ -232,6 +232,11 @@ def links(distinct_fps: DataFrame, most: int = MOST, bucket: int = 4096) -> Data
     """(a, b): links that connect all fingerprints (column fp, distinct) within ``most`` <= 4 bits of one another."""
     if most > MOST:
         raise ValueError("the keys guarantee links of up to 4 differing bits")
+    return candidates(distinct_fps, most, bucket)
+
+
+def candidates(distinct_fps: DataFrame, most: int, bucket: int = 4096) -> DataFrame:
+    """(a, b): links within ``most`` bits among fingerprints that share a key: all there are up to 4 bits, beyond those that share one by chance."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
