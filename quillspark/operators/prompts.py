@@ -60,9 +60,13 @@ def embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, encoder: Cal
 
 # Prices of 1,000 prompt and completion tokens, in the order partial names are tried.
 PRICES = [
-    ("gpt-4", 0.03, 0.06), ("gpt-4-32k", 0.06, 0.12), ("gpt-4-turbo-preview", 0.01, 0.03), ("gpt-4o", 0.005, 0.015), ("gpt-4o-mini", 0.00015, 0.0006),
-    ("gpt-3.5-turbo", 0.0005, 0.0015), ("gpt-3.5-turbo-16k", 0.001, 0.002), ("text-embedding-3-small", 0.00002, 0.0), ("text-embedding-3-large", 0.00013, 0.0), ("text-embedding-ada-002", 0.00010, 0.0),
-    ("gemini-1.5-pro", 0.0025, 0.0075), ("gemini-1.5-flash", 0.00035, 0.00105), ("command-r", 0.0005, 0.0015), ("command-r-plus", 0.003, 0.015), ("mixtral-8x7b-32768", 0.00024, 0.00024),
+    ("gpt-4", 0.03, 0.06), ("gpt-4-32k", 0.06, 0.12), ("gpt-4-turbo-preview", 0.01, 0.03), ("gpt-4o", 0.005, 0.015), ("gpt-4o-mini", 0.00015, 0.0006), ("gpt-4o-2024-08-06", 0.0025, 0.01), ("gpt-4o-mini-2024-07-18", 0.00015, 0.0006),
+    ("gpt-3.5-turbo", 0.0005, 0.0015), ("gpt-3.5-turbo-16k", 0.001, 0.002), ("gpt-3.5-turbo-0125", 0.0005, 0.0015), ("gpt-3.5-turbo-1106", 0.001, 0.002),
+    ("text-embedding-3-small", 0.00002, 0.0), ("text-embedding-3-large", 0.00013, 0.0), ("text-embedding-ada-002", 0.00010, 0.0),
+    ("claude-3-opus-20240229", 0.015, 0.075), ("claude-3-sonnet-20240229", 0.003, 0.015), ("claude-3-haiku-20240307", 0.00025, 0.00125), ("claude-3-5-sonnet-20241022", 0.003, 0.015),
+    ("gemini-1.5-pro", 0.0025, 0.0075), ("gemini-1.5-flash", 0.00035, 0.00105), ("gemini-1.0-pro", 0.0005, 0.0015),
+    ("command-r", 0.0005, 0.0015), ("command-r-plus", 0.003, 0.015), ("command", 0.0005, 0.0015),
+    ("llama-3.1-70b-versatile", 0.00059, 0.00079), ("llama-3.1-8b-instant", 0.00005, 0.00008), ("mixtral-8x7b-32768", 0.00024, 0.00024),
 ]
 DEFAULT_PRICE = (0.01, 0.02)
 

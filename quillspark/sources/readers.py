@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urlparse
 
@@ -48,6 +51,26 @@ def delimiter(text: Column | str) -> Column:
     return F.when((best["d"] == " ") & (-other["n"] * 2 >= -best["n"]) & (other["n"] < 0), other["d"]).when(best["n"] == 0, ",").otherwise(best["d"])
 
 
+def read_csv(spark: SparkSession, path: str, head_lines: int = 100) -> DataFrame:
+    """The rows of a CSV file as trimmed strings; encoding, delimiter and header are told from its first ``head_lines`` lines.
+
+    Bytes that are no UTF-8 are read as ISO-8859-1. Short rows have nulls at their end. Columns without a header are named _c0, _c1, ..
+    """
+    lines = spark.read.option("sep", "\x01").option("quote", "").option("encoding", "ISO-8859-1").option("header", "false").csv(path).limit(head_lines).collect()
+    raw = "\n".join(r[0] or "" for r in lines).encode("latin-1")
+    try:
+        encoding, head = "UTF-8", raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        encoding, head = "ISO-8859-1", raw.decode("latin-1")
+    sep = spark.range(1).select(delimiter(F.lit(head))).first()[0]
+    try:
+        header = csv.Sniffer().has_header(head)
+    except csv.Error:
+        header = True
+    rows = spark.read.option("sep", sep).option("encoding", encoding).option("header", str(header).lower()).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    return rows.select(*(F.trim(F.col(f"`{c}`")).alias(c) for c in rows.columns))
+
+
 def rendered_rows(df: DataFrame, number: Column, *columns: str) -> DataFrame:
     """Rows as "Row n: column: value | .."; the header counts as row 1."""
     cells = F.concat_ws(" | ", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns))
@@ -91,6 +114,7 @@ def html_links(pages: DataFrame, id_col: str, html: str, most: int = 100, clip:
 # Elements that are dropped, and inline elements.
 DROPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe", "button", "input", "svg", "canvas", "object"}
 MAIN = ("main", "article")
+BLOCKS = {"p", "div", "section", "article", "main", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "title"}
 VOID = {"br", "img", "meta", "link", "hr", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -106,6 +130,8 @@ class Walker(HTMLParser):
         self.mark = ""
         self.skip = 0
         self.main = 0
+        self.open: list[tuple[str, bool, bool]] = []
+        self.opened: Counter[str] = Counter()
         self.stack: list[str] = []
         self.number = 0
 
@@ -116,20 +142,21 @@ class Walker(HTMLParser):
         self.now, self.mark = [], ""
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.skip += tag not in VOID
-            return
-        if self.skip:
+        dropped, marks = tag in DROPPED, tag in MAIN or dict(attrs).get("role") == "main"
+        if not self.skip and (dropped or marks or tag in BLOCKS or tag in ("br", "tr")):
+            self.flush()
+        if tag not in VOID:
+            self.open.append((tag, dropped, marks))
+            self.opened[tag] += 1
+            self.skip += dropped
+            self.main += marks
+        if self.skip or dropped:
             return
-        if tag in MAIN or dict(attrs).get("role") == "main":
-            self.main += tag in MAIN
         if tag == "a" and (href := dict(attrs).get("href")) and href not in self.links:
             self.links.append(href)
         if tag in ("ul", "ol"):
             self.stack.append(tag)
             self.number = 0
-        if tag in ("p", "div", "section", "article", "main", "li", "blockquote", "br", "h1", "h2", "h3", "h4", "h5", "h6", "title", "tr"):
-            self.flush()
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             self.mark = "#" * int(tag[1]) + " "
         if tag == "li":
@@ -145,20 +172,26 @@ class Walker(HTMLParser):
             self.now = []
 
     def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.skip = max(0, self.skip - 1)
+        """Closes the innermost open element of the name and all within it; an end without a start closes nothing."""
+        if not self.opened[tag]:
             return
-        if self.skip:
+        if not self.skip and tag in BLOCKS:
+            self.flush()
+        name = None
+        while name != tag:
+            name, dropped, marks = self.open.pop()
+            self.opened[name] -= 1
+            self.skip -= dropped
+            if marks and not self.skip:
+                self.flush()
+            self.main -= marks
+        if self.skip or dropped:
             return
         if tag in ("td", "th") and self.tables and self.tables[-1]:
             self.tables[-1][-1].append(" ".join("".join(self.now).split()))
             self.now = []
-        if tag in ("p", "div", "section", "article", "main", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "title"):
-            self.flush()
         if tag in ("ul", "ol") and self.stack:
             self.stack.pop()
-        if tag in MAIN:
-            self.main = max(0, self.main - 1)
 
     def handle_data(self, data):
         if not self.skip:
@@ -204,12 +237,72 @@ def html_tables(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     return pages.select(id_col, html).mapInPandas(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, table_index long, row_index long, cells array<string>")
 
 
+# Tags and attributes that sanitised pages may have.
+ALLOWED_TAGS = ["p", "br", "b", "i", "u", "strong", "em", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "blockquote", "a", "img", "table", "tr", "td", "th", "thead", "tbody"]
+ALLOWED_ATTRIBUTES = {"a": ["href", "title", "target"], "img": ["src", "alt", "title", "width", "height"], "table": ["border", "cellpadding", "cellspacing"], "*": ["class", "id"]}
+SCHEMES = ("http", "https", "mailto")
+
+
+def safe_url(url: str) -> bool:
+    """Whether a link has an allowed scheme or none; blanks and control characters in front of or within the scheme do not hide it."""
+    scheme, colon, _ = "".join(c for c in url if c > " ").partition(":")
+    return not colon or any(c in scheme for c in "/?#") or scheme.lower() in SCHEMES
+
+
+class Sanitizer(HTMLParser):
+    """Allowed tags with allowed attributes; text and character references as they are; scripts and styles go whole."""
+
+    def __init__(self, tags: list[str]):
+        super().__init__(convert_charrefs=False)
+        self.tags, self.out, self.skip = set(tags), [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.skip += 1
+        elif not self.skip and tag in self.tags:
+            names = ALLOWED_ATTRIBUTES["*"] + ALLOWED_ATTRIBUTES.get(tag, [])
+            kept = [(k, v or "") for k, v in attrs if k in names and (k not in ("href", "src") or safe_url(v or ""))]
+            self.out.append(f"<{tag}{''.join(f' {k}="{escape(v)}"' for k, v in kept)}>")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in ("script", "style"):
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skip = max(0, self.skip - 1)
+        elif not self.skip and tag in self.tags and tag not in VOID:
+            self.out.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data.replace("<", "&lt;"))
+
+    def handle_entityref(self, name):
+        if not self.skip:
+            self.out.append(f"&{name};")
+
+    def handle_charref(self, name):
+        if not self.skip:
+            self.out.append(f"&#{name};")
+
+
+def sanitized(html: str, tags: list[str]) -> str:
+    s = Sanitizer(tags)
+    s.feed(html)
+    s.close()
+    return "".join(s.out)
+
+
 def sanitize_html(html: Column | str, allowed: list[str] | None = None) -> Column:
-    """Tags outside an allow-list are dropped, their text stays."""
-    tags = allowed or ["p", "br", "b", "i", "u", "strong", "em", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "blockquote", "a", "img", "table", "tr", "td", "th", "thead", "tbody"]
-    c = F.col(html) if isinstance(html, str) else html
-    bare = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", "")
-    return F.regexp_replace(bare, rf"(?is)<(?!/?(?:{'|'.join(tags)})\b)[^>]*>", "")
+    """Tags outside an allow-list are dropped, their text stays; attributes outside theirs and links of other schemes go."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([None if h is None else sanitized(h, allowed or ALLOWED_TAGS) for h in b], dtype="object")
+
+    return run(html)
 
 
 # --- benchmark and fine-tuning sets
