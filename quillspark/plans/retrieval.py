@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from quillspark.functions import text, vector
 from quillspark.operators import keyword, ranking, rerank, vectors
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.session import shared_path, table
 
 STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
@@ -60,8 +60,18 @@ half AS (SELECT item_id, doc_id, n0 * 0.7 AS h0, n1 * 0.3 AS h1 FROM nm)
 )
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> keyword.Index:
-    return keyword.build_index(table(spark, sf_dir, "documents"))
+    """The stored index of the documents, written at its first use in a session and anew when the table has other files."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
+    if key not in _STORED:
+        path = shared_path(spark, "keyword-index")
+        keyword.save_index(keyword.build_index(docs), path)
+        _STORED[key] = path
+    return keyword.load_index(spark, _STORED[key])
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:

@@ -178,8 +178,11 @@ def test_saved_index_gives_the_same_hits(spark, tmp_path):
     queries = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     index = keyword.build_index(docs)
     keyword.save_index(index, str(tmp_path / "index"))
+    stored = keyword.load_index(spark, str(tmp_path / "index"))
     hits = lambda i: {(r.item_id, r.doc_id, round(r.score, 9)) for r in keyword.bm25_search(i, queries, 5).collect()}
-    assert hits(keyword.load_index(spark, str(tmp_path / "index"))) == hits(index)
+    assert hits(stored) == hits(index)
+    cosines = lambda i: {(r.item_id, r.doc_id, round(r.score, 9)) for r in keyword.tfidf_scores(i, queries).collect()}
+    assert cosines(stored) == cosines(index)
 
 
 def test_mmr_and_cross_encoder(spark):
