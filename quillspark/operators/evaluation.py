@@ -22,6 +22,19 @@ def judged(ranked: DataFrame, relevant: DataFrame, query: str, item: str) -> Dat
     return ranked.join(marks, [query, item], "left").fillna(0, ["hit"]).join(counts, query, "left").fillna(0, ["n_relevant"])
 
 
+def judged_by_label(ranked: DataFrame, labelled: DataFrame, query: str, item: str, id_col: str, label: str) -> DataFrame:
+    """``judged`` where a query's relevant items are all others of its label: labels are counted and hits compared, the pairs are never listed.
+
+    Ids of ``labelled`` are unique; a null label is relevant to none.
+    """
+    own = labelled.select(F.col(id_col).alias(query), F.col(label).alias("_own"))
+    other = labelled.select(F.col(id_col).alias(item), F.col(label).alias("_label"))
+    sizes = labelled.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_own")).agg((F.count("*") - 1).alias("n_relevant"))
+    rows = ranked.join(own, query, "left").join(other, item, "left").join(sizes, "_own", "left")
+    hit = (F.col("_own") == F.col("_label")) & (F.col(query) != F.col(item))
+    return rows.withColumn("hit", F.coalesce(hit, F.lit(False)).cast("int")).fillna(0, ["n_relevant"]).drop("_own", "_label")
+
+
 def per_query(rows: DataFrame, query: str, ks: list[int]) -> DataFrame:
     """Reciprocal rank, average precision, and precision, recall and NDCG at each k, for each query of judged rows."""
     run = F.sum("hit").over(Window.partitionBy(query).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))

@@ -208,8 +208,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = table(spark, sf_dir, "embeddings")
     queries = vecs.where("vec_id % 20 = 0")
     found = vectors.knn(vecs, queries, 11).withColumn("rank", F.col("rank") - 1).where("rank BETWEEN 1 AND 10")
-    relevant = queries.select(F.col("vec_id").alias("query_id"), "label").join(vecs.select(F.col("vec_id").alias("id"), "label"), "label").where("query_id <> id").select("query_id", "id")
-    return evaluation.per_query(evaluation.judged(found, relevant, "query_id", "id"), "query_id", KS)
+    return evaluation.per_query(evaluation.judged_by_label(found, vecs, "query_id", "id", "vec_id", "label"), "query_id", KS)
 
 
 def _per_k(name: str, expr: str) -> str:

@@ -250,3 +250,12 @@ def test_store_round_trip(spark, tmp_path):
 def test_retry_and_batch_sizes():
     assert [analytics.retry_delay(n) for n in (0, 3, 10)] == [1.0, 8.0, 60.0]
     assert analytics.next_batch_size(20, 100.0, 6.0) == 16 and analytics.next_batch_size(20, 100.0, 1.0) == 26
+
+
+def test_judged_by_label_equals_judged(spark):
+    labelled = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (6, "a")], "id long, label string")
+    ranked = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 1, 3), (3, 1, 1), (4, 5, 1), (6, 9, 1)], "q long, i long, rank long")
+    own, other = labelled.select(F.col("id").alias("q"), "label"), labelled.select(F.col("id").alias("i"), "label")
+    relevant = own.join(other, "label").where("q <> i").select("q", "i")
+    rows = lambda df: {tuple(r) for r in df.select("q", "i", "rank", "hit", "n_relevant").collect()}
+    assert rows(evaluation.judged_by_label(ranked, labelled, "q", "i", "id", "label")) == rows(evaluation.judged(ranked, relevant, "q", "i"))
