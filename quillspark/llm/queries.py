@@ -72,6 +72,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=5, similarity=0.8)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,10 +85,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op5_suffix_dedup, op6_fm_dedup, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op5_suffix_dedup, op6_fm_dedup, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate, op13_divergence, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillspark.llm import decontaminate, fm_dedup, suffix_dedup, warc
+    from quillspark.llm import decontaminate, divergence, fm_dedup, suffix_dedup, warc
 
-    return {"op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_fm_dedup": fm_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_fm_dedup": fm_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op13_divergence": divergence.ORACLE}
