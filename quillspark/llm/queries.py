@@ -72,6 +72,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=5, similarity=0.8)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.jaccard_join import similar
+
+    return similar(_table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.alignment import align
 
@@ -91,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op5_suffix_dedup, op6_fm_dedup, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate, op12_alignment, op13_divergence, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_bpe_round_trip, op4_quality_rules, op5_suffix_dedup, op6_fm_dedup, op7_secret_scan, op8_sstable, op9_simhash, op10_decontaminate, op11_jaccard_join, op12_alignment, op13_divergence, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
