@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import tokens
 from quillspark.llm.bpe import stretches as slices
-from quillspark.llm.common import discard, materialize
+from quillspark.llm.common import discard, materialize, setting
 
 #: Printable ASCII and Latin characters, none of which is white space anywhere.
 GOOD = "!-~¡-ɏ"
@@ -42,6 +42,8 @@ _PLAIN = re.compile(f"[{GOOD} \n]*").fullmatch
 _RUNS = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
 _CUTS = re.compile(rf"(?<=[{GOOD}])(?=[ \n])").split
 SHARD_BYTES = 32_000_000
+#: Bits of the second vocabulary's id in a pair of ids.
+PAIR_BITS = 24
 
 
 class Sides:
@@ -140,9 +142,11 @@ def links(stretches: DataFrame) -> DataFrame:
     """(w, end, g, a, b, a_ends, b_ends): a row for each link of each stretch; ``end`` closes it, groups ``g`` count down."""
 
     def side(c: str) -> DataFrame:
-        token = stretches.select("w", F.posexplode(F.arrays_zip(c, f"{c}_len")).alias("pos", "t")).select("w", "pos", f"t.{c}", F.col(f"t.{c}_len").alias("len"))
-        return token.select("w", c, F.sum("len").over(Window.partitionBy("w").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+        token = dealt.select("w", F.posexplode(F.arrays_zip(c, f"{c}_len")).alias("pos", "t")).select("w", "pos", f"t.{c}", F.col(f"t.{c}_len").alias("len"))
+        return token.select("w", c, F.sum("len").over(Window.partitionBy("w").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("end"))
 
+    parts = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stretches.repartition(parts, "w")
     ends = side("a").join(side("b"), ["w", "end"], "full")
     down = Window.partitionBy("w").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     a_ends, b_ends = F.col("a").isNotNull(), F.col("b").isNotNull()
@@ -150,15 +154,17 @@ def links(stretches: DataFrame) -> DataFrame:
 
 
 def summaries(found: DataFrame) -> DataFrame:
-    """(w, n_a, n_b, n_groups, n_links, groups) of every stretch of ``links``."""
+    """(w, n_a, n_b, n_groups, n_links, groups, pairs) of every stretch of ``links``; pairs repeat as links do."""
 
-    def listed(c: str) -> F.Column:
+    def listed(c: str) -> Column:
         own = F.array_sort(F.collect_list(F.when(F.col(f"{c}_ends"), F.struct("end", c))))
         return F.concat_ws(",", F.transform(own, lambda x: x[c].cast("string")))
 
-    groups = found.groupBy("w", "g").agg(F.concat_ws("|", listed("a"), listed("b")).alias("text"), F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.count("*").alias("n_links"))
+    pair = F.shiftleft(F.col("a").cast("long"), PAIR_BITS).bitwiseOR(F.col("b").cast("long"))
+    groups = found.groupBy("w", "g").agg(F.concat_ws("|", listed("a"), listed("b")).alias("text"), F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.collect_list(pair).alias("pairs"))
     ordered = F.reverse(F.array_sort(F.collect_list(F.struct("g", "text"))))
-    return groups.groupBy("w").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum("n_links").alias("n_links"), F.concat_ws(";", F.transform(ordered, lambda x: x["text"])).alias("groups"))
+    sums = [F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.size("pairs")).alias("n_links")]
+    return groups.groupBy("w").agg(*sums, F.concat_ws(";", F.transform(ordered, lambda x: x["text"])).alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs"))
 
 
 def lists(array: pa.ChunkedArray) -> Iterator[np.ndarray | None]:
@@ -209,28 +215,30 @@ def document_sums(docs: pa.Table, held: pa.Table) -> pa.Table:
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``docs``."""
     path_a, path_b = path_a or tokens.default_path(), path_b or tokens.default_path("piece_bpe_32k.model")
-    rows = materialize(numbered(docs, id_col, text_col, path_a, path_b, shard_bytes), "numbered")
+    spark = docs.sparkSession
+    rows = materialize(numbered(docs, id_col, text_col, path_a, path_b, shard_bytes), "numbered", "zstd")
     own = rows.where("num is not null")
     stretches = materialize(encoded(own.select("stretch").distinct(), path_a, path_b).withColumn("w", F.monotonically_increasing_id()), "stretches")
-    held = materialize(own.join(stretches.select("stretch", "w"), "stretch").select("shard", "num", "w"), "held")
-    found = materialize(links(stretches.drop("stretch")), "links")
+    held = materialize(own.join(stretches.select("stretch", "w"), "stretch").select("shard", "num", "w"), "held", "zstd")
+    # A stretch's rows stay where its number puts them, so that the join on (w, end) needs no exchange of its own.
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        known = materialize(summaries(links(stretches.drop("stretch"))), "summaries", "zstd")
     discard(stretches)
 
-    pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-    repeated = materialize(found.groupBy("w", pair.alias("pair")).agg(F.count("*").alias("m")), "pairs")
-    pairs = held.join(repeated.groupBy("w").agg(F.collect_list("pair").alias("pairs")), "w").select("shard", "num", "pairs")
     texts = rows.where("num is null").select("shard", "id", "nums")
+    pairs = held.join(known.select("w", F.array_distinct("pairs").alias("pairs")), "w").select("shard", "num", "pairs")
     by_shard = texts.where("nums is not null").select("shard", "nums").groupBy("shard")
     parts = by_shard.cogroup(pairs.groupBy("shard")).applyInArrow(pair_documents, "pair long, n long")
-    counts = materialize(parts.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)), "pair-counts")
+    counts = materialize(parts.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", PAIR_BITS)), "pair-counts")
 
     best = counts.groupBy("a").agg(F.max("n").alias("best"))
     scored = counts.join(best, "a").select("pair", "n", (F.col("n") == F.col("best")).cast("long").alias("is_best"))
-    sums = repeated.join(scored, "pair").groupBy("w").agg(F.sum(F.col("m") * F.col("is_best")).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
+    linked = known.select("w", F.explode("pairs").alias("pair"))
     # Links of stretches that only texts without tokens hold have no counts and are never asked for.
-    known = materialize(summaries(found).join(sums, "w", "left").na.fill(0), "summaries")
-    of = held.join(known, "w").select("shard", "num", *SUMS, "groups")
+    sums = linked.join(scored, "pair").groupBy("w").agg(F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
+    scores = materialize(sums, "scores")
+    of = held.join(known.drop("pairs"), "w").join(scores, "w", "left").na.fill(0, ["n_best", "count_sum"]).select("shard", "num", *SUMS, "groups")
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string"
     out = materialize(texts.groupBy("shard").cogroup(of.groupBy("shard")).applyInArrow(document_sums, schema), "aligned")
-    discard(rows, held, found, repeated, counts, known)
+    discard(rows, held, counts, known, scores)
     return out.withColumnRenamed("id", id_col)

@@ -47,12 +47,23 @@ def dropping_shuffles(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """Within, ``key`` has another value."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with dropping_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
