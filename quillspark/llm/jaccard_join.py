@@ -32,8 +32,8 @@ from quillspark.llm.common import discard, heavy_values, materialize, salted_joi
 from quillspark.llm.components import components
 from quillspark.llm.simhash import shingle_hashes
 
-#: Bits of a signature.
-BITS = 1024
+#: Least and most bits of a signature.
+BITS = (256, 65_536)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -46,9 +46,33 @@ def least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signature(own: np.ndarray) -> bytes:
-    """Parities of the elements by hash."""
-    return np.packbits(np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def growth(percent: int) -> float:
+    """Natural logarithm of how much the sizes of a band grow: by 0.01 more than linked sizes can differ."""
+    return float(np.log(100 / percent + 0.01))
+
+
+def signature(own: np.ndarray, percent: int) -> bytes:
+    """Parities of the elements by hash; a power of two of bits, at least twice as many as the band's sets have elements."""
+    band = int(np.log(len(own)) / growth(percent)) if len(own) else 0
+    bits = min(BITS[1], max(BITS[0], 2 << int(growth(percent) * (band + 1) / np.log(2) + 1)))
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(sigs: list[bytes], size: int) -> np.ndarray:
+    """(rows, words): signatures as they are with ``size`` bytes, since a wider one's halves differ in one bit of the hash."""
+    out = np.empty((len(sigs), size // 8), np.uint64)
+    for k, s in enumerate(sigs):
+        x = np.frombuffer(s, np.uint64)
+        while len(x) > out.shape[1]:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def may_link(n: np.ndarray, m: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements with signatures ``bits`` apart can be linked: they share at most (n + m - bits) / 2, and
+    need 100 * shared >= percent * (n + m - shared)."""
+    return (100 + percent) * (n + m - bits) >= 2 * percent * (n + m)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -63,7 +87,7 @@ def text_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
         for b in batches:
             sets = [shingle_set(t.as_py(), size) for t in b.column("text")]
             prefixes = [s[: len(s) - least_shared(len(s), percent) + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            more = [pa.array(map(len, sets), pa.int64()), pa.array(map(signature, sets), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            more = [pa.array(map(len, sets), pa.int64()), pa.array((signature(s, percent) for s in sets), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "n", "sig", "prefix"])
 
     rows = keyed_texts(docs, id_col, text_col).where("text is not null")
@@ -79,11 +103,10 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def tiles(nodes: DataFrame, percent: int, tile: int) -> DataFrame:
     """(cell, node, n, upper, leader): a row for each tile, or cell of a large tile, that a node stands in with others; upper rows only meet others' lower ones."""
-    growth = float(np.log(100 / percent + 0.01))
     by_key, by_tile = Window.partitionBy("key"), Window.partitionBy("key", "band")
     keys = nodes.select("node", "n", F.explode("prefix").alias("key"))
     shared = keys.withColumn("m", F.count("*").over(by_key)).where("m > 1")
-    band = F.floor(F.log(F.col("n").cast("double")) / growth).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / growth(percent)).cast("int")
     both = shared.select("key", "node", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("upper")).withColumn("band", band - F.col("upper"))
     lower = F.when(F.col("upper") == 0, F.col("node"))
     held = both.select("*", F.count("*").over(by_tile).alias("m"), F.min(lower).over(by_tile).alias("leader")).where("m > 1 and leader is not null")
@@ -102,19 +125,35 @@ def led(held: DataFrame) -> DataFrame:
     return best.select((-F.col("top.less")).alias("a"), F.col("node").alias("b"))
 
 
-def bounded_pairs(n: np.ndarray, group: np.ndarray, upper: np.ndarray, sigs: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a cell, of different groups, whose sizes and signatures allow the similarity; rows come by size."""
-    for k in range(len(n) - 1):
-        end = int(np.searchsorted(n, 100 * n[k] // percent, side="right"))
-        at = np.arange(k + 1, end)
-        at = at[(group[at] != group[k]) & ~(upper[at] & upper[k])]
-        for words in (4, sigs.shape[1]):  # the first words of a signature bound the bits from below, too
-            bits = np.bitwise_count(sigs[at, :words] ^ sigs[k, :words]).sum(axis=1, dtype=np.int64)
-            both = n[at] + n[k]
-            # 100 * shared >= percent * (both - shared), with shared at most (both - bits) / 2
-            at = at[(100 + percent) * (both - bits) >= 2 * percent * both]
-        if len(at):
-            yield np.full(len(at), k), at
+def bounded_pairs(cell: np.ndarray, n: np.ndarray, group: np.ndarray, upper: np.ndarray, sigs: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell, of different groups, whose sizes and signatures allow the similarity; rows come by cell and size."""
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(cell)]]))
+    width = np.repeat(np.minimum.reduceat(np.fromiter(map(len, sigs), np.int64, len(sigs)), starts), sizes)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(cell)) - 1
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero((width == w) & (left > 0))
+        own = np.flatnonzero(width == w)
+        place = np.zeros(len(cell), np.int64)
+        place[own] = np.arange(len(own))
+        words = folded([sigs[k] for k in own.tolist()], w)
+        step = max(1, (16 << 20) // w)
+        apart = 1
+        while len(rows):
+            ahead = rows + apart
+            near = 100 * n[rows] >= percent * n[ahead]
+            rows, ahead = rows[near], ahead[near]  # what comes later in the cell is larger still
+            may = (group[rows] != group[ahead]) & ~(upper[rows] & upper[ahead])
+            for some in range(0, int(may.sum()), step):
+                x, y = rows[may][some : some + step], ahead[may][some : some + step]
+                for part in (4, w // 8):  # the first words bound the bits from below, too
+                    bits = np.bitwise_count(words[place[x], :part] ^ words[place[y], :part]).sum(axis=1, dtype=np.int64)
+                    ok = may_link(n[x], n[y], bits, percent)
+                    x, y = x[ok], y[ok]
+                if len(x):
+                    yield x, y
+            apart += 1
+            rows = rows[left[rows] >= apart]
 
 
 def cell_pairs(percent: int):
@@ -124,15 +163,9 @@ def cell_pairs(percent: int):
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if not len(t):
                 return
-            cell, node, n, group = (np.asarray(t[c].combine_chunks()) for c in ("cell", "node", "n", "component"))
-            upper = np.asarray(t["upper"].combine_chunks()) == 1
-            sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(t), -1)
-            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            for s, e in zip(starts, [*starts[1:], len(t)], strict=True):
-                if e - s > 1:
-                    for x, y in bounded_pairs(n[s:e], group[s:e], upper[s:e], sigs[s:e], percent):
-                        a, b = node[s:e][x], node[s:e][y]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            cell, node, n, group, upper = (np.asarray(t[c].combine_chunks()) for c in ("cell", "node", "n", "component", "upper"))
+            for x, y in bounded_pairs(cell, n, group, upper == 1, t["sig"].to_pylist(), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -143,12 +176,26 @@ def cell_pairs(percent: int):
             begin = int(np.searchsorted(cells, cells[-1]))
             yield from pairs(waiting.slice(0, begin))
             waiting = waiting.slice(begin).combine_chunks()
-        if waiting is not None and len(waiting):
+        if waiting is not None:
             yield from pairs(waiting)
 
     return run
 
 
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be linked by sizes and signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = np.asarray(b["a_n"]), np.asarray(b["b_n"])
+            ends = zip(b["a_sig"].to_pylist(), b["b_sig"].to_pylist(), strict=True)
+            bits = [int(np.bitwise_count(np.bitwise_xor(*folded([x, y], min(len(x), len(y))))).sum()) for x, y in ends]
+            may = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & may_link(n, m, np.array(bits, np.int64), percent)
+            yield b.select(["a", "b"]).filter(pa.array(may))
+
+    return near_copies.with_both(pairs, nodes, "n", "sig").mapInArrow(run, "a long, b long")
+
+
 def unlinked_pairs(held: DataFrame, nodes: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components that meet in a cell and may be linked."""
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -166,13 +213,14 @@ def links(nodes: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
     held = materialize(tiles(nodes, percent, tile), "tiles")
     make, enough = (lambda text: shingle_set(text, size)), (lambda a, b: linked(a, b, percent))
     first = materialize(led(held), "led")
-    near = near_copies.verified(first, nodes, make, enough)
+    likely = materialize(bounded(first, nodes, percent), "likely")
+    near = near_copies.verified(likely, nodes, make, enough)
     member = materialize(components(near, "a", "b"), "members")
     pairs = unlinked_pairs(held, nodes, member, percent)
     rest = materialize(pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     more = near_copies.verified(rest, nodes, make, enough)
     out = materialize(near.union(more), "links")
-    discard(held, first, near, member, pairs, rest, more)
+    discard(held, first, likely, near, member, pairs, rest, more)
     return out
 
 
