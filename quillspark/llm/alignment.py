@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import tokens
@@ -153,18 +153,11 @@ def links(stretches: DataFrame) -> DataFrame:
     return ends.select("w", "end", F.count(F.when(a_ends & b_ends, 1)).over(down).alias("g"), F.last("a", True).over(down).alias("a"), F.last("b", True).over(down).alias("b"), a_ends.alias("a_ends"), b_ends.alias("b_ends"))
 
 
-def summaries(found: DataFrame) -> DataFrame:
-    """(w, n_a, n_b, n_groups, n_links, groups, pairs) of every stretch of ``links``; pairs repeat as links do."""
-
-    def listed(c: str) -> Column:
-        own = F.array_sort(F.collect_list(F.when(F.col(f"{c}_ends"), F.struct("end", c))))
-        return F.concat_ws(",", F.transform(own, lambda x: x[c].cast("string")))
-
+def link_lists(found: DataFrame) -> DataFrame:
+    """(w, links): the links of every stretch in order, a number each: a's id, b's id, and whether b's token and a's token end there."""
     pair = F.shiftleft(F.col("a").cast("long"), PAIR_BITS).bitwiseOR(F.col("b").cast("long"))
-    groups = found.groupBy("w", "g").agg(F.concat_ws("|", listed("a"), listed("b")).alias("text"), F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.collect_list(pair).alias("pairs"))
-    ordered = F.reverse(F.array_sort(F.collect_list(F.struct("g", "text"))))
-    sums = [F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.size("pairs")).alias("n_links")]
-    return groups.groupBy("w").agg(*sums, F.concat_ws(";", F.transform(ordered, lambda x: x["text"])).alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs"))
+    link = F.shiftleft(pair, 2).bitwiseOR(F.shiftleft(F.col("b_ends").cast("long"), 1)).bitwiseOR(F.col("a_ends").cast("long"))
+    return found.groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", link.alias("link")))), lambda x: x["link"]).alias("links"))
 
 
 def lists(array: pa.ChunkedArray) -> Iterator[np.ndarray | None]:
@@ -175,70 +168,116 @@ def lists(array: pa.ChunkedArray) -> Iterator[np.ndarray | None]:
             yield values[offsets[k] : offsets[k + 1]] if ok else None
 
 
-def pair_documents(docs: pa.Table, held: pa.Table) -> pa.Table:
-    """(pair, n): in how many documents of a shard each id pair is linked; ``held`` has the pairs of its stretches by number."""
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
-    if not len(docs):
-        return schema.empty_table()
-    of = dict(zip(held["num"].to_pylist(), lists(held["pairs"]), strict=True))
-    met: list[np.ndarray] = []
-    for nums in lists(docs["nums"]):
-        own = [of.get(n) for n in np.unique(nums).tolist()] if nums is not None else [None]
-        if all(x is not None for x in own):
-            met.append(np.unique(np.concatenate(own)))
-    pairs, n = np.unique(np.concatenate(met), return_counts=True) if met else (np.empty(0, np.int64), np.empty(0, np.int64))
-    return pa.table([pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], schema=schema)
-
-
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-
-def document_sums(docs: pa.Table, held: pa.Table) -> pa.Table:
-    """A shard's documents with the sums of their stretches and the digest of their groups."""
-    most = max(pc.max(held["num"]).as_py() if len(held) else 0, max((int(x.max()) for x in lists(docs["nums"]) if x is not None), default=0)) + 1
-    table, known = np.zeros((most, len(SUMS)), np.int64), np.zeros(most, bool)
-    at = np.asarray(held["num"]) if len(held) else np.empty(0, np.int64)
-    known[at] = True
-    for k, c in enumerate(SUMS):
-        table[at, k] = np.asarray(held[c])
-    text = dict(zip(at.tolist(), held["groups"].to_pylist(), strict=True)) if len(held) else {}
-    sums, digests = np.zeros((len(docs), len(SUMS)), np.int64), []
+class ShardLinks:
+    """Links of a shard's stretches by number."""
+
+    def __init__(self, held: pa.Table):
+        nums = np.asarray(held["num"]).astype(np.int64) if len(held) else np.empty(0, np.int64)
+        own = list(lists(held["links"]))
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.flat = np.concatenate(own) if own else np.empty(0, np.int64)
+        most = int(nums.max()) + 1 if len(nums) else 0
+        # Numbers that have no links here are of stretches without tokens.
+        self.start, self.size = np.zeros(most, np.int64), np.zeros(most, np.int64)
+        ends = np.cumsum(sizes)
+        self.start[nums], self.size[nums] = ends - sizes, sizes
+        a, b = self.flat & 1, (self.flat >> 1) & 1
+        self.sums = np.zeros((most, 4), np.int64)
+        for k, x in enumerate((a, b, a & b, np.ones_like(a))):
+            self.sums[nums, k] = np.add.reduceat(x, ends - sizes) if len(nums) else 0
+        self.texts: dict[int, str] = {}
+
+    def known(self, nums: np.ndarray) -> bool:
+        return bool(len(nums)) and int(nums.max()) < len(self.size) and bool(self.size[nums].all())
+
+    def of(self, nums: np.ndarray) -> np.ndarray:
+        size = self.size[nums]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[nums] - (ends - size), size)]
+
+    def text(self, num: int) -> str:
+        """The groups of a stretch: ids of the first vocabulary, a bar, and those of the second."""
+        found = self.texts.get(num)
+        if found is None:
+            groups, a, b = [], [], []
+            at = self.start[num]
+            for link in self.flat[at : at + self.size[num]].tolist():
+                if link & 1:
+                    a.append(str(link >> (PAIR_BITS + 2)))
+                if link & 2:
+                    b.append(str((link >> 2) & ((1 << PAIR_BITS) - 1)))
+                if link & 3 == 3:
+                    groups.append(f"{','.join(a)}|{','.join(b)}")
+                    a, b = [], []
+            found = self.texts[num] = ";".join(groups)
+        return found
+
+
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+SUMS = (*COUNTS, "n_best", "count_sum")
+
+
+def met(docs: pa.Table, held: pa.Table) -> pa.Table:
+    """A shard's documents with their counts and the digest of their groups, and rows (pair, n): in how many of them each id pair is linked."""
+    links = ShardLinks(held)
+    n = len(docs)
+    sums, digests, nums_of, pairs = np.zeros((n, len(COUNTS)), np.int64), [], [], []
     for row, nums in enumerate(lists(docs["nums"])):
-        if nums is None or not known[nums].all():
+        if nums is None or not links.known(nums):
             digests.append("")
+            nums_of.append(None)
             continue
-        sums[row] = table[nums].sum(axis=0)
-        digests.append(hashlib.sha256(";".join(map(text.__getitem__, nums.tolist())).encode()).hexdigest())
-    return pa.table([docs["id"], *(pa.array(sums[:, k]) for k in range(len(SUMS))), pa.array(digests, pa.string())], names=["id", *SUMS, "groups_sha256"])
+        sums[row] = links.sums[nums].sum(axis=0)
+        digests.append(hashlib.sha256(";".join(map(links.text, nums.tolist())).encode()).hexdigest())
+        nums_of.append(nums)
+        pairs.append(np.unique(links.of(np.unique(nums)) >> 2))
+    pair, count_ = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+    first = [docs["shard"], docs["id"], pa.array(nums_of, pa.list_(pa.int32())), *(pa.array(sums[:, k]) for k in range(len(COUNTS))), pa.array(digests, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+    names = ["shard", "id", "nums", *COUNTS, "groups_sha256", "pair", "n"]
+    rows = pa.table(first, names=names)
+    counted = pa.table([*(pa.nulls(len(pair), rows.schema.field(c).type) for c in names[:-2]), pa.array(pair), pa.array(count_)], schema=rows.schema)
+    return pa.concat_tables([rows, counted])
+
+
+def rated(docs: pa.Table, scores: pa.Table) -> pa.Table:
+    """A shard's documents with the sums of their stretches' scores."""
+    most = 1 + max([-1, *(int(x.max()) for x in lists(docs["nums"]) if x is not None)])
+    table = np.zeros((max(most, 1 + (pc.max(scores["num"]).as_py() if len(scores) else -1)), 2), np.int64)
+    if len(scores):
+        table[np.asarray(scores["num"])] = np.stack([np.asarray(scores["n_best"]), np.asarray(scores["count_sum"])], axis=1)
+    sums = np.array([(0, 0) if x is None else table[x].sum(axis=0) for x in lists(docs["nums"])], np.int64).reshape(-1, 2)
+    return pa.table([docs["id"], *(docs[c] for c in COUNTS), pa.array(sums[:, 0]), pa.array(sums[:, 1]), docs["groups_sha256"]], names=["id", *SUMS, "groups_sha256"])
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``docs``."""
     path_a, path_b = path_a or tokens.default_path(), path_b or tokens.default_path("piece_bpe_32k.model")
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = materialize(numbered(docs, id_col, text_col, path_a, path_b, shard_bytes), "numbered", "zstd")
     own = rows.where("num is not null")
-    stretches = materialize(encoded(own.select("stretch").distinct(), path_a, path_b).withColumn("w", F.monotonically_increasing_id()), "stretches")
+    stretches = materialize(encoded(own.select("stretch").distinct(), path_a, path_b).withColumn("w", F.monotonically_increasing_id()), "stretches", "zstd")
     held = materialize(own.join(stretches.select("stretch", "w"), "stretch").select("shard", "num", "w"), "held", "zstd")
     # A stretch's rows stay where its number puts them, so that the join on (w, end) needs no exchange of its own.
     with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        known = materialize(summaries(links(stretches.drop("stretch"))), "summaries", "zstd")
+        known = materialize(link_lists(links(stretches.drop("stretch"))), "links", "zstd")
     discard(stretches)
 
     texts = rows.where("num is null").select("shard", "id", "nums")
-    pairs = held.join(known.select("w", F.array_distinct("pairs").alias("pairs")), "w").select("shard", "num", "pairs")
-    by_shard = texts.where("nums is not null").select("shard", "nums").groupBy("shard")
-    parts = by_shard.cogroup(pairs.groupBy("shard")).applyInArrow(pair_documents, "pair long, n long")
-    counts = materialize(parts.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", PAIR_BITS)), "pair-counts")
+    of = held.join(known, "w").select("shard", "num", "links")
+    schema = f"shard long, id {id_type}, nums array<int>, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, pair long, n long"
+    found = materialize(texts.groupBy("shard").cogroup(of.groupBy("shard")).applyInArrow(met, schema), "met", "zstd")
+    discard(rows)
 
+    pair = F.shiftright("link", 2)
+    counts = materialize(found.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", PAIR_BITS)), "pair-counts")
     best = counts.groupBy("a").agg(F.max("n").alias("best"))
     scored = counts.join(best, "a").select("pair", "n", (F.col("n") == F.col("best")).cast("long").alias("is_best"))
-    linked = known.select("w", F.explode("pairs").alias("pair"))
     # Links of stretches that only texts without tokens hold have no counts and are never asked for.
-    sums = linked.join(scored, "pair").groupBy("w").agg(F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
-    scores = materialize(sums, "scores")
-    of = held.join(known.drop("pairs"), "w").join(scores, "w", "left").na.fill(0, ["n_best", "count_sum"]).select("shard", "num", *SUMS, "groups")
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string"
-    out = materialize(texts.groupBy("shard").cogroup(of.groupBy("shard")).applyInArrow(document_sums, schema), "aligned")
-    discard(rows, held, counts, known, scores)
+    sums = known.select("w", F.explode("links").alias("link")).select("w", pair.alias("pair")).join(scored, "pair").groupBy("w").agg(F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
+    scores = materialize(sums, "scores", "zstd")
+    discard(known)
+    done = found.where("pair is null").select("shard", "id", "nums", *COUNTS, "groups_sha256")
+    by_num = held.join(scores, "w").select("shard", "num", "n_best", "count_sum")
+    out = materialize(done.groupBy("shard").cogroup(by_num.groupBy("shard")).applyInArrow(rated, f"id {id_type}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string"), "aligned")
+    discard(held, found, counts, scores)
     return out.withColumnRenamed("id", id_col)
