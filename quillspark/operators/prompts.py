@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -112,16 +114,11 @@ def scored_blocks(ranked: DataFrame, query: str, text: str, score: str, rank: st
 
 
 def fill(template: str, **values: Column) -> Column:
-    """A template with {name} places; a missing value raises."""
-    import string
-
-    names = {n for _, n, _, _ in string.Formatter().parse(template) if n}
-    if missing := names - values.keys():
+    """A template with {name} places; values are put in as they are, braces and all. A missing value raises, a null one is empty."""
+    parts = list(string.Formatter().parse(template))
+    if missing := {n for _, n, _, _ in parts if n} - values.keys():
         raise KeyError(f"missing template variables: {sorted(missing)}")
-    out = F.lit(template)
-    for n in names:
-        out = F.replace(out, F.lit("{" + n + "}"), F.coalesce(values[n].cast("string"), F.lit("")))
-    return out
+    return F.concat(F.lit(""), *(x for text, n, _, _ in parts for x in (F.lit(text), *([F.coalesce(values[n].cast("string"), F.lit(""))] if n else []))))
 
 
 QA_TEMPLATE = "Answer the question from the context.\n\nContext:\n{context}\n\nQuestion: {question}\n\nAnswer:"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.text import drop_stopwords
 from quillspark.operators import keyword, prompts, vectors
 
 
@@ -90,19 +91,30 @@ def config_issues(rows: DataFrame, rules: dict[str, tuple[float, float]]) -> Dat
     return rows.withColumn("issues", F.array_compact(F.array(*issue)))
 
 
-def containing(docs: DataFrame, chunks: DataFrame, doc_id: str, text: str, chunk_id: str, chunk: str) -> DataFrame:
-    """(chunk, doc): the first document that contains each chunk.
+def containing(docs: DataFrame, chunks: DataFrame, doc_id: str, text: str, chunk_id: str, chunk: str, block: int = 500) -> DataFrame:
+    """(chunk, doc): the first document that contains each chunk; chunks that none contains, and null ones, have no row.
 
     A document that contains a chunk has all its inner tokens, so chunks meet documents on their rarest inner
-    token and only those pairs are compared. Chunks without an inner token are left out.
+    token and only those pairs are compared. Distinct chunks without an inner token meet all documents, in blocks of ``block``;
+    an empty chunk is in every text.
     """
     index = keyword.build_index(docs, doc_id, text)
-    inner = F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0)))
-    tokens = chunks.select(chunk_id, F.col(chunk).alias("_chunk"), F.filter(F.split(F.regexp_replace(F.lower(chunk), "[^a-z0-9]+", " "), " "), lambda t: t != "").alias("ts")).select(chunk_id, "_chunk", F.explode(inner).alias("term"))
-    w = Window.partitionBy(chunk_id).orderBy("df", "term")
+    rows = chunks.select(chunk_id, F.col(chunk).alias("_chunk")).where("_chunk IS NOT NULL")
+    inner = drop_stopwords(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0))))
+    parted = rows.withColumn("ts", F.filter(F.split(F.regexp_replace(F.lower("_chunk"), "[^a-z0-9]+", " "), " "), lambda t: t != "")).withColumn("inner", inner)
+    tokens = parted.select(chunk_id, "_chunk", F.explode("inner").alias("term"))
+    w = Window.partitionBy(chunk_id, "_chunk").orderBy("df", "term")
     rare = tokens.join(index.terms.select("term", "df"), "term").withColumn("_r", F.row_number().over(w)).where("_r = 1").select(chunk_id, "_chunk", "term")
-    met = index.postings.join(rare, "term").select(chunk_id, "_chunk", doc_id).join(docs.select(doc_id, F.col(text).alias("_text")), doc_id)
-    return met.where(F.contains("_text", F.col("_chunk"))).groupBy(chunk_id).agg(F.min(doc_id).alias(doc_id))
+    texts = docs.select(doc_id, F.col(text).alias("_text"))
+    met = index.postings.join(rare, "term").select(chunk_id, "_chunk", doc_id).join(texts, doc_id)
+    found = [met.where(F.contains("_text", F.col("_chunk"))).select(chunk_id, doc_id)]
+    short = parted.where("size(inner) = 0").select("_chunk").distinct()
+    blocks = -(-short.count() // block)
+    for k in range(blocks):
+        some = F.broadcast(short.where(F.pmod(F.xxhash64("_chunk"), F.lit(blocks)) == k))
+        first = texts.join(some, F.contains("_text", F.col("_chunk"))).groupBy("_chunk").agg(F.min(doc_id).alias(doc_id))
+        found.append(parted.where("size(inner) = 0").join(first, "_chunk").select(chunk_id, doc_id))
+    return reduce(DataFrame.union, found).groupBy(chunk_id).agg(F.min(doc_id).alias(doc_id))
 
 
 def paced_starts(rows: DataFrame, by: str, arrival: str, id_col: str, rate: float) -> DataFrame:

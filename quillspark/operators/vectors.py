@@ -1,4 +1,4 @@
-"""Vector search: exact k-NN by blocks of queries, an inverted-file index with measured recall, and store maintenance.
+"""Vector search: exact k-NN by blocks of queries, and store maintenance; approximate search is in ``proximity``.
 
 Queries travel to the vectors in blocks of bounded size; each task multiplies its vectors by a block
 with numpy and keeps its k best per query, so what is shuffled is k rows a query and task.
@@ -11,11 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.vector import normalize
 from quillspark.operators.ranking import top_k
+from quillspark.session import shared_path
 
 FOUND = "query_id long, id long, score double"
 
@@ -61,13 +63,21 @@ def query_blocks(queries: DataFrame, id_col: str, vec_col: str, block: int) -> I
         yield ids, np.array(rows)
 
 
+def _written(found: DataFrame, shared: Broadcast) -> DataFrame:
+    """The rows of a block of queries, written out, so that one block is held at a time."""
+    path = shared_path(found.sparkSession, "knn")
+    found.write.parquet(path)
+    shared.destroy()
+    return found.sparkSession.read.parquet(path)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "vec_id", query_col: str = "embedding", where: Column | None = None, threshold: float | None = None, block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest vectors, exact. ``where`` filters vectors before the search; ``threshold`` drops scores below it."""
     spark = vectors.sparkSession
     source = vectors.where(where) if where is not None else vectors
     rows = source.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
 
-    def passes(ids: list[int], matrix: np.ndarray) -> DataFrame:
+    def passes(ids: list[int], matrix: np.ndarray) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +98,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                 n = held[0].shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), n)), pa.array(held[0].reshape(-1)), pa.array(held[1].reshape(-1))], ["query_id", "id", "score"])
 
-        return rows.mapInArrow(run, FOUND)
+        return rows.mapInArrow(run, FOUND), shared
 
-    found = [passes(*b) for b in query_blocks(queries, query_id, query_col, block)]
+    found: list[DataFrame] = []
+    last = None
+    for b in query_blocks(queries, query_id, query_col, block):
+        found += [_written(*last)] if last else []
+        last = passes(*b)
+    if last:
+        found.append(_written(*last) if found else last[0])
     best = top_k(reduce(DataFrame.union, found) if found else spark.createDataFrame([], FOUND), "query_id", "id", k)
     return best if threshold is None else best.where(F.col("score") >= threshold)
 
@@ -113,51 +129,3 @@ def store_stats(store: DataFrame, vec_col: str = "embedding") -> DataFrame:
 def search_parameters(n: Column) -> Column:
     """Cells probed by size of the store: more rows, wider search."""
     return F.when(n < 10_000, 64).when(n < 100_000, 128).otherwise(256).cast("long")
-
-
-class IVF:
-    """Inverted file: k-means cells, trained on at most ``train_rows`` rows; a query reads its ``probe`` nearest cells."""
-
-    def __init__(self, vectors: DataFrame, cells: int = 100, train_rows: int = 10_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7):
-        self.id_col, self.vec_col = id_col, vec_col
-        spark = vectors.sparkSession
-        units = vectors.select(F.col(id_col).cast("long").alias("id"), normalize(vec_col).alias("v")).where("v is not null")
-        sample = np.array([r.v for r in units.orderBy(F.xxhash64("id", F.lit(seed))).limit(train_rows).collect()])
-        self.centroids = self._train(sample, min(cells, max(1, len(sample))), seed)
-        shared = spark.sparkContext.broadcast(self.centroids)
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                cell = (_matrix(b.column(1)) @ shared.value.T).argmax(axis=1) if b.num_rows else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int64))], ["id", "v", "cell"])
-
-        self.rows = units.mapInArrow(assign, "id long, v array<double>, cell long")
-
-    @staticmethod
-    def _train(x: np.ndarray, cells: int, seed: int, rounds: int = 15) -> np.ndarray:
-        if not len(x):
-            return np.zeros((1, 1))
-        c = x[np.random.default_rng(seed).choice(len(x), cells, replace=False)]
-        for _ in range(rounds):
-            near = (x @ c.T).argmax(axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            n = np.linalg.norm(sums, axis=1, keepdims=True)
-            c = np.where(n > 0, sums / np.where(n == 0, 1, n), c)
-        return c
-
-    def search(self, queries: DataFrame, k: int, probe: int = 10, query_id: str = "vec_id", query_col: str = "embedding") -> DataFrame:
-        """(query_id, id, score, rank): each query joins the rows of its nearest cells; every row is in some cell."""
-        spark = queries.sparkSession
-        shared = spark.sparkContext.broadcast(self.centroids)
-
-        def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                near = np.argsort(-(_matrix(b.column(1)) @ shared.value.T), axis=1, kind="stable")[:, :probe] if b.num_rows else np.empty((0, 1), np.int64)
-                n = near.shape[1]
-                take = pa.array(np.repeat(np.arange(b.num_rows), n))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.reshape(-1).astype(np.int64))], ["query_id", "q", "cell"])
-
-        q = queries.select(F.col(query_id).cast("long").alias("query_id"), normalize(query_col).alias("q")).where("q is not null").mapInArrow(probes, "query_id long, q array<double>, cell long")
-        score = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        return top_k(self.rows.join(q, "cell").select("query_id", "id", score.alias("score")), "query_id", "id", k)

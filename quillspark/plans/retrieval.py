@@ -5,12 +5,15 @@ Every benchmark item is a query over all documents; vector queries are the vecto
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text, vector
-from quillspark.operators import keyword, ranking, rerank, vectors
+from quillspark.operators import keyword, proximity, ranking, rerank, vectors
 from quillspark.plans.registry import register
 from quillspark.session import shared_path, table
 
@@ -63,15 +66,25 @@ half AS (SELECT item_id, doc_id, n0 * 0.7 AS h0, n1 * 0.3 AS h1 FROM nm)
 _STORED: dict[tuple, str] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> keyword.Index:
-    """The stored index of the documents, written at its first use in a session and anew when the table has other files."""
-    docs = table(spark, sf_dir, "documents")
-    key = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
+def _version(df: DataFrame) -> tuple:
+    """Count and digest of the names, lengths and times of a table's files: rewritten in place, it has another version."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first())
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, kind: str, write: Callable[[DataFrame, str], object]) -> str:
+    """Where an index of a table is stored; it is written at its first use in a session, and anew when the table has changed."""
+    df = table(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, kind, _version(df))
     if key not in _STORED:
-        path = shared_path(spark, "keyword-index")
-        keyword.save_index(keyword.build_index(docs), path)
+        path = shared_path(spark, kind)
+        write(df, path)
         _STORED[key] = path
-    return keyword.load_index(spark, _STORED[key])
+    return _STORED[key]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> keyword.Index:
+    return keyword.load_index(spark, _stored(spark, sf_dir, "documents", "keyword-index", lambda docs, path: keyword.save_index(keyword.build_index(docs), path)))
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
@@ -215,9 +228,41 @@ def knn_postfilter(spark, sf_dir):
     return _rounded(_knn(spark, sf_dir).join(labels, "id").where("label = 1").select("query_id", "id", "score", "rank"), "score")
 
 
+def _hnsw(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    path = _stored(spark, sf_dir, "embeddings", "graph-index", lambda vecs, path: proximity.save_graph(proximity.build_graph(vecs), path))
+    return proximity.search_graph(proximity.load_graph(spark, path), _queries(spark, sf_dir), k)
+
+
+def _ivf(spark: SparkSession, sf_dir: str, coarse: str, k: int = 10) -> DataFrame:
+    path = _stored(spark, sf_dir, "embeddings", f"cells-{coarse}", lambda vecs, path: proximity.CellIndex.build(vecs, path, coarse=coarse, cell_rows=50))
+    index = proximity.CellIndex(spark, path)
+    return index.search(_queries(spark, sf_dir), k, probe=max(8, -(-2 * len(index.quantizer.ids) // 5)), ef=256)
+
+
+@register("knn_hnsw")
+def knn_hnsw(spark, sf_dir):
+    return _rounded(_hnsw(spark, sf_dir), "score")
+
+
 @register("knn_ivf")
 def knn_ivf(spark, sf_dir):
-    return _rounded(vectors.IVF(table(spark, sf_dir, "embeddings"), cells=100).search(_queries(spark, sf_dir), 10, probe=40), "score")
+    return _rounded(_ivf(spark, sf_dir, "flat"), "score")
+
+
+@register("knn_ivf_hnsw")
+def knn_ivf_hnsw(spark, sf_dir):
+    return _rounded(_ivf(spark, sf_dir, "graph"), "score")
+
+
+@register("ann_recall", f"""WITH {_KNN}, n AS (SELECT count(*) AS n FROM v), a AS (SELECT count(*) * least(10, (SELECT n FROM n)) AS n_exact FROM q)
+SELECT unnest(['hnsw', 'ivf', 'ivf_hnsw']) AS method, CAST(n_exact AS BIGINT) AS n_exact, TRUE AS enough FROM a""")
+def ann_recall(spark, sf_dir):
+    """Whether each index finds at least 0.9 of what exact search finds."""
+    exact = _knn(spark, sf_dir, 10).select("query_id", "id")
+    found = {"hnsw": _hnsw(spark, sf_dir), "ivf": _ivf(spark, sf_dir, "flat"), "ivf_hnsw": _ivf(spark, sf_dir, "graph")}
+    both = [exact.withColumn("method", F.lit(name)).join(df.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left") for name, df in found.items()]
+    rows = reduce(DataFrame.union, both)
+    return rows.groupBy("method").agg(F.count("*").alias("n_exact"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @register("vec_normalise", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm, CAST(1.0 AS DOUBLE) AS unit_norm FROM embeddings")

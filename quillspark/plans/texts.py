@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import chunking, evaluation, expansion, keyword, vectors
+from quillspark.operators import chunking, evaluation, expansion, keyword, proximity, vectors
 from quillspark.plans.registry import register
 from quillspark.plans.retrieval import SCORED, STOP, _bm25, _index, _rounded
 from quillspark.session import table
@@ -372,10 +372,7 @@ def faith_claims(spark, sf_dir):
 SELECT label, count(*) AS n, round(avg(best), 6) AS mean, round(stddev_pop(best), 6) AS std, round(min(best), 6) AS lowest, round(max(best), 6) AS highest, round(avg((best >= 0.7)::INT), 6) AS positive_ratio FROM s GROUP BY label""")
 def faith_semantic_agg(spark, sf_dir):
     vecs = table(spark, sf_dir, "embeddings")
-    found = [vectors.knn(vecs, vecs.where(f"vec_id % 20 = 0 AND label = {r.label}"), 2, where=F.col("label") == r.label) for r in vecs.select("label").distinct().collect()]
-    rows = found[0]
-    for other in found[1:]:
-        rows = rows.union(other)
+    rows = proximity.nearest_within(vecs, vecs.where("vec_id % 20 = 0"), "label", 2)
     best = rows.where("query_id <> id").groupBy("query_id").agg(F.max("score").alias("best")).join(vecs.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
     return _rounded(evaluation.aggregate_scores(best, "best", F.col("best") >= 0.7, "label"), "mean", "std", "lowest", "highest", "positive_ratio")
 

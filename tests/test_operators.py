@@ -1,13 +1,14 @@
 """Hand-checked values and edge cases of single operators."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text, vector
-from quillspark.operators import analytics, chunking, evaluation, expansion, keyword, prompts, ranking, rerank, vectors
+from quillspark.operators import analytics, chunking, evaluation, expansion, keyword, prompts, proximity, ranking, rerank, services, vectors
 from quillspark.sources import readers
 
 
@@ -153,12 +154,46 @@ def test_knn_blocks_filters_and_ties(spark):
     assert vectors.delete_vectors(vecs, queries).count() == 52
 
 
-def test_ivf_recall(spark):
+def test_knn_in_blocks_and_within_groups(spark):
     vecs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     queries = vecs.where("vec_id % 5 = 0")
-    exact = {(r.query_id, r.id) for r in vectors.knn(vecs, queries, 10).collect()}
-    found = {(r.query_id, r.id) for r in vectors.IVF(vecs, cells=20).search(queries, 10, probe=12).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    whole = sorted(map(tuple, vectors.knn(vecs, queries, 3).select("query_id", "id", "rank").collect()))
+    assert whole == sorted(map(tuple, vectors.knn(vecs, queries, 3, block=4).select("query_id", "id", "rank").collect()))
+    within = proximity.nearest_within(vecs, queries, "label", 3, part_rows=4, block=3)
+    same = vecs.select("vec_id", "label")
+    pairs = within.join(same, within.query_id == same.vec_id).select("query_id", "id", F.col("label").alias("own")).join(same, F.col("id") == same.vec_id)
+    assert pairs.where("own = label").count() == within.count() == pairs.count() > queries.count()
+    assert within.where("rank = 1 AND query_id = id").count() == queries.count()
+
+
+def test_values_are_put_into_templates_as_they_are(spark):
+    df = spark.createDataFrame([("see {context}", "{question}|\\1")], "q string, c string")
+    assert df.select(prompts.fill("{{x}} {question}|{context}|{question}", question=F.col("q"), context=F.col("c"))).first()[0] == "{x} see {context}|{question}|\\1|see {context}"
+    assert df.select(prompts.fill("none")).first()[0] == "none"
+
+
+def test_every_chunk_finds_its_document(spark):
+    docs = spark.createDataFrame([(1, "The quick brown fox"), (2, "a brown fox jumps, and then"), (3, None), (0, "of the and")], "doc_id long, text string")
+    chunks = spark.createDataFrame([(1, "brown"), (2, "brown fox"), (3, "fox jumps, and"), (4, "x"), (5, "of the and"), (6, "no such text here"), (7, None), (8, "row"), (9, ""), (9, "quick brown fox")], "c long, chunk string")
+    for block in (1, 500):
+        found = {r.c: r.doc_id for r in services.containing(docs, chunks, "doc_id", "text", "c", "chunk", block).collect()}
+        assert found == {1: 1, 2: 1, 3: 2, 4: 1, 5: 0, 8: 1, 9: 0}
+
+
+def test_an_index_is_written_anew_for_a_table_rewritten_in_place(spark, tmp_path):
+    from quillspark.plans import retrieval
+
+    terms = []
+    for k, words in enumerate(("alpha beta", "gamma delta")):
+        spark.createDataFrame([(1, words)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        part = next((tmp_path / "documents.parquet").glob("part-*"))
+        for other in (tmp_path / "documents.parquet").glob(".*"):
+            other.unlink()
+        part.rename(tmp_path / "documents.parquet" / "part-0.parquet")
+        os.utime(tmp_path / "documents.parquet" / "part-0.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+        spark.catalog.refreshByPath(f"{tmp_path}/documents.parquet")
+        terms.append({r.term for r in retrieval._index(spark, str(tmp_path)).terms.collect()})
+    assert terms == [{"alpha", "beta"}, {"gamma", "delta"}]
 
 
 def test_wrong_dimension_raises(spark):
