@@ -28,6 +28,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,23 @@ _CUTS = re.compile(rf"(?<=[{GOOD}])(?=[ \n])").split
 SHARD_BYTES = 32_000_000
 #: Bits of the second vocabulary's id in a pair of ids.
 PAIR_BITS = 24
+_B_MASK = (1 << PAIR_BITS) - 1
+
+
+def stretches(text: str, cuttable: bool = True) -> list[str]:
+    """The pieces of a space and the text that are encoded alone."""
+    whole = " " + text
+    if not cuttable:
+        return [whole]
+    return _RUNS(whole) if _PLAIN(whole) else _CUTS(whole)
+
+
+def packed(nums: np.ndarray) -> bytes:
+    return zstandard.compress(nums.astype("<i4").tobytes(), 1)
+
+
+def unpacked(nums: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(nums), "<i4")
 
 
 class Sides:
@@ -62,11 +80,7 @@ class Sides:
         self.cuttable = tokens.ByteLevel.fits(path_a) and not any(re.search("[^▁]▁|[\n ]", p) for p in normal) and m.encode("\na")[0] == self.blank
 
     def stretches(self, text: str) -> list[str]:
-        """The pieces of a space and the text that are encoded alone."""
-        whole = " " + text
-        if not self.cuttable:
-            return [whole]
-        return _RUNS(whole) if _PLAIN(whole) else _CUTS(whole)
+        return stretches(text, self.cuttable)
 
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of stretches in both vocabularies; the second's model adds a space to what it is given."""
@@ -84,12 +98,11 @@ def sides(path_a: str, path_b: str) -> Sides:
     return _SIDES[path_a, path_b]
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str, shard_bytes: int) -> DataFrame:
-    """Rows (shard, id, nums) of documents, whose arrays number the stretches of their shard, and rows (shard, num, stretch) of each shard's stretches."""
+def numbered(docs: DataFrame, id_col: str, text_col: str, cuttable: bool, shard_bytes: int) -> DataFrame:
+    """Rows (shard, id, nums) of documents, whose packed arrays number the stretches of their shard, and rows (shard, num, stretch) of each shard's stretches."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = sides(path_a, path_b)
         context = TaskContext.get()
         first, made, size = (context.partitionId() if context else 0) << 32, 0, 0
         number: defaultdict[str, int] = defaultdict(count().__next__)
@@ -101,7 +114,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: s
         def dictionary() -> Iterator[pa.RecordBatch]:
             if number:
                 n = len(number)
-                yield batch(first + made, pa.nulls(n, ids_type), pa.nulls(n, pa.list_(pa.int32())), pa.array(number.values(), pa.int32()), pa.array(number.keys(), pa.string()))
+                yield batch(first + made, pa.nulls(n, ids_type), pa.nulls(n, pa.binary()), pa.array(number.values(), pa.int32()), pa.array(number.keys(), pa.string()))
 
         for whole in batches:
             ids_type = whole.column(0).type
@@ -111,12 +124,12 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: s
                     number, made, size = defaultdict(count().__next__), made + 1, 0
                 size += b.column(1).nbytes
                 numbers = number.__getitem__
-                nums = [np.fromiter(map(numbers, both.stretches(t)), np.int32) if t else None for t in b.column(1).to_pylist()]
-                yield batch(first + made, b.column(0), pa.array(nums, pa.list_(pa.int32())), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.string()))
+                nums = [packed(np.fromiter(map(numbers, stretches(t, cuttable)), np.int32)) if t else None for t in b.column(1).to_pylist()]
+                yield batch(first + made, b.column(0), pa.array(nums, pa.binary()), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.string()))
         yield from dictionary()
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, f"shard long, id {id_type}, nums array<int>, num int, stretch string")
+    return plain.mapInArrow(run, f"shard long, id {id_type}, nums binary, num int, stretch string")
 
 
 def encoded(distinct: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -138,15 +151,15 @@ def encoded(distinct: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return distinct.mapInArrow(run, "stretch string, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
 
 
-def links(stretches: DataFrame) -> DataFrame:
+def links(distinct: DataFrame) -> DataFrame:
     """(w, end, g, a, b, a_ends, b_ends): a row for each link of each stretch; ``end`` closes it, groups ``g`` count down."""
 
     def side(c: str) -> DataFrame:
         token = dealt.select("w", F.posexplode(F.arrays_zip(c, f"{c}_len")).alias("pos", "t")).select("w", "pos", f"t.{c}", F.col(f"t.{c}_len").alias("len"))
         return token.select("w", c, F.sum("len").over(Window.partitionBy("w").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("end"))
 
-    parts = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stretches.repartition(parts, "w")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.repartition(parts, "w")
     ends = side("a").join(side("b"), ["w", "end"], "full")
     down = Window.partitionBy("w").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     a_ends, b_ends = F.col("a").isNotNull(), F.col("b").isNotNull()
@@ -160,32 +173,27 @@ def link_lists(found: DataFrame) -> DataFrame:
     return found.groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", link.alias("link")))), lambda x: x["link"]).alias("links"))
 
 
-def lists(array: pa.ChunkedArray) -> Iterator[np.ndarray | None]:
-    """Lists of integers as arrays."""
-    for chunk in array.chunks:
-        values, offsets, valid = np.asarray(chunk.values), np.asarray(chunk.offsets), np.asarray(chunk.is_valid())
-        for k, ok in enumerate(valid.tolist()):
-            yield values[offsets[k] : offsets[k + 1]] if ok else None
-
-
 class ShardLinks:
     """Links of a shard's stretches by number."""
 
     def __init__(self, held: pa.Table):
         nums = np.asarray(held["num"]).astype(np.int64) if len(held) else np.empty(0, np.int64)
-        own = list(lists(held["links"]))
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        self.flat = np.concatenate(own) if own else np.empty(0, np.int64)
+        column = pa.chunked_array(held["links"].chunks, pa.list_(pa.int64())).combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+        offsets = np.asarray(column.offsets).astype(np.int64) if len(held) else np.zeros(1, np.int64)
+        self.flat = np.asarray(column.values) if len(held) else np.empty(0, np.int64)
+        begin, sizes = offsets[:-1], np.diff(offsets)
         most = int(nums.max()) + 1 if len(nums) else 0
         # Numbers that have no links here are of stretches without tokens.
         self.start, self.size = np.zeros(most, np.int64), np.zeros(most, np.int64)
-        ends = np.cumsum(sizes)
-        self.start[nums], self.size[nums] = ends - sizes, sizes
+        self.start[nums], self.size[nums] = begin, sizes
         a, b = self.flat & 1, (self.flat >> 1) & 1
         self.sums = np.zeros((most, 4), np.int64)
         for k, x in enumerate((a, b, a & b, np.ones_like(a))):
-            self.sums[nums, k] = np.add.reduceat(x, ends - sizes) if len(nums) else 0
-        self.texts: dict[int, str] = {}
+            self.sums[nums, k] = np.add.reduceat(x, begin) if len(nums) else 0
+        self.texts: list[str | None] = [None] * most
+        for num, at, end in zip(nums.tolist(), begin.tolist(), (begin + sizes).tolist(), strict=True):
+            self.texts[num] = groups_text(self.flat[at:end].tolist())
 
     def known(self, nums: np.ndarray) -> bool:
         return bool(len(nums)) and int(nums.max()) < len(self.size) and bool(self.size[nums].all())
@@ -195,22 +203,20 @@ class ShardLinks:
         ends = np.cumsum(size)
         return self.flat[np.arange(ends[-1]) + np.repeat(self.start[nums] - (ends - size), size)]
 
-    def text(self, num: int) -> str:
-        """The groups of a stretch: ids of the first vocabulary, a bar, and those of the second."""
-        found = self.texts.get(num)
-        if found is None:
-            groups, a, b = [], [], []
-            at = self.start[num]
-            for link in self.flat[at : at + self.size[num]].tolist():
-                if link & 1:
-                    a.append(str(link >> (PAIR_BITS + 2)))
-                if link & 2:
-                    b.append(str((link >> 2) & ((1 << PAIR_BITS) - 1)))
-                if link & 3 == 3:
-                    groups.append(f"{','.join(a)}|{','.join(b)}")
-                    a, b = [], []
-            found = self.texts[num] = ";".join(groups)
-        return found
+
+def groups_text(links: list[int]) -> str:
+    """The groups of a stretch's links: ids of the first vocabulary, a bar, and those of the second."""
+    groups, a, b = [], [], []
+    for link in links:
+        ends = link & 3
+        if ends & 1:
+            a.append(str(link >> (PAIR_BITS + 2)))
+        if ends & 2:
+            b.append(str((link >> 2) & _B_MASK))
+        if ends == 3:
+            groups.append(f"{','.join(a)}|{','.join(b)}")
+            a, b = [], []
+    return ";".join(groups)
 
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -220,19 +226,21 @@ SUMS = (*COUNTS, "n_best", "count_sum")
 def met(docs: pa.Table, held: pa.Table) -> pa.Table:
     """A shard's documents with their counts and the digest of their groups, and rows (pair, n): in how many of them each id pair is linked."""
     links = ShardLinks(held)
+    text = links.texts.__getitem__
     n = len(docs)
     sums, digests, nums_of, pairs = np.zeros((n, len(COUNTS)), np.int64), [], [], []
-    for row, nums in enumerate(lists(docs["nums"])):
+    for row, kept in enumerate(docs["nums"].to_pylist()):
+        nums = None if kept is None else unpacked(kept)
         if nums is None or not links.known(nums):
             digests.append("")
             nums_of.append(None)
             continue
         sums[row] = links.sums[nums].sum(axis=0)
-        digests.append(hashlib.sha256(";".join(map(links.text, nums.tolist())).encode()).hexdigest())
-        nums_of.append(nums)
+        digests.append(hashlib.sha256(";".join(map(text, nums.tolist())).encode()).hexdigest())
+        nums_of.append(kept)
         pairs.append(np.unique(links.of(np.unique(nums)) >> 2))
     pair, count_ = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-    first = [docs["shard"], docs["id"], pa.array(nums_of, pa.list_(pa.int32())), *(pa.array(sums[:, k]) for k in range(len(COUNTS))), pa.array(digests, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+    first = [docs["shard"], docs["id"], pa.array(nums_of, pa.binary()), *(pa.array(sums[:, k]) for k in range(len(COUNTS))), pa.array(digests, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
     names = ["shard", "id", "nums", *COUNTS, "groups_sha256", "pair", "n"]
     rows = pa.table(first, names=names)
     counted = pa.table([*(pa.nulls(len(pair), rows.schema.field(c).type) for c in names[:-2]), pa.array(pair), pa.array(count_)], schema=rows.schema)
@@ -241,11 +249,11 @@ def met(docs: pa.Table, held: pa.Table) -> pa.Table:
 
 def rated(docs: pa.Table, scores: pa.Table) -> pa.Table:
     """A shard's documents with the sums of their stretches' scores."""
-    most = 1 + max([-1, *(int(x.max()) for x in lists(docs["nums"]) if x is not None)])
-    table = np.zeros((max(most, 1 + (pc.max(scores["num"]).as_py() if len(scores) else -1)), 2), np.int64)
+    most = 1 + (pc.max(scores["num"]).as_py() if len(scores) else -1)
+    table = np.zeros((most, 2), np.int64)
     if len(scores):
         table[np.asarray(scores["num"])] = np.stack([np.asarray(scores["n_best"]), np.asarray(scores["count_sum"])], axis=1)
-    sums = np.array([(0, 0) if x is None else table[x].sum(axis=0) for x in lists(docs["nums"])], np.int64).reshape(-1, 2)
+    sums = np.array([(0, 0) if x is None else table[unpacked(x)].sum(axis=0) for x in docs["nums"].to_pylist()], np.int64).reshape(-1, 2)
     return pa.table([docs["id"], *(docs[c] for c in COUNTS), pa.array(sums[:, 0]), pa.array(sums[:, 1]), docs["groups_sha256"]], names=["id", *SUMS, "groups_sha256"])
 
 
@@ -253,20 +261,18 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``docs``."""
     path_a, path_b = path_a or tokens.default_path(), path_b or tokens.default_path("piece_bpe_32k.model")
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    rows = materialize(numbered(docs, id_col, text_col, path_a, path_b, shard_bytes), "numbered", "zstd")
-    own = rows.where("num is not null")
-    stretches = materialize(encoded(own.select("stretch").distinct(), path_a, path_b).withColumn("w", F.monotonically_increasing_id()), "stretches", "zstd")
-    held = materialize(own.join(stretches.select("stretch", "w"), "stretch").select("shard", "num", "w"), "held", "zstd")
+    rows = materialize(numbered(docs, id_col, text_col, sides(path_a, path_b).cuttable, shard_bytes), "numbered", "zstd")
+    own = rows.where("num is not null").select("shard", "num", "stretch")
+    distinct = materialize(encoded(own.select("stretch").distinct(), path_a, path_b).withColumn("w", F.monotonically_increasing_id()), "stretches", "zstd")
     # A stretch's rows stay where its number puts them, so that the join on (w, end) needs no exchange of its own.
     with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        known = materialize(link_lists(links(stretches.drop("stretch"))), "links", "zstd")
-    discard(stretches)
+        known = materialize(link_lists(links(distinct.drop("stretch"))).join(distinct.select("w", "stretch"), "w"), "links", "zstd")
+    discard(distinct)
 
     texts = rows.where("num is null").select("shard", "id", "nums")
-    of = held.join(known, "w").select("shard", "num", "links")
-    schema = f"shard long, id {id_type}, nums array<int>, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, pair long, n long"
-    found = materialize(texts.groupBy("shard").cogroup(of.groupBy("shard")).applyInArrow(met, schema), "met", "zstd")
-    discard(rows)
+    of = own.join(known.select("stretch", "links"), "stretch").select(F.col("shard").alias("of"), "num", "links")
+    schema = f"shard long, id {id_type}, nums binary, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, pair long, n long"
+    found = materialize(texts.groupBy("shard").cogroup(of.groupBy("of")).applyInArrow(met, schema), "met", "zstd")
 
     pair = F.shiftright("link", 2)
     counts = materialize(found.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", PAIR_BITS)), "pair-counts")
@@ -274,10 +280,10 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     scored = counts.join(best, "a").select("pair", "n", (F.col("n") == F.col("best")).cast("long").alias("is_best"))
     # Links of stretches that only texts without tokens hold have no counts and are never asked for.
     sums = known.select("w", F.explode("links").alias("link")).select("w", pair.alias("pair")).join(scored, "pair").groupBy("w").agg(F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
-    scores = materialize(sums, "scores", "zstd")
+    scores = materialize(sums.join(known.select("w", "stretch"), "w").drop("w"), "scores", "zstd")
     discard(known)
     done = found.where("pair is null").select("shard", "id", "nums", *COUNTS, "groups_sha256")
-    by_num = held.join(scores, "w").select("shard", "num", "n_best", "count_sum")
-    out = materialize(done.groupBy("shard").cogroup(by_num.groupBy("shard")).applyInArrow(rated, f"id {id_type}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string"), "aligned")
-    discard(held, found, counts, scores)
+    by_num = own.join(scores, "stretch").select(F.col("shard").alias("of"), "num", "n_best", "count_sum")
+    out = materialize(done.groupBy("shard").cogroup(by_num.groupBy("of")).applyInArrow(rated, f"id {id_type}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string"), "aligned")
+    discard(rows, found, counts, scores)
     return out.withColumnRenamed("id", id_col)
