@@ -9,9 +9,9 @@ Within a cell hashed bitmap signatures are compared: each bit is the parity of t
 in no more bits than the sets have elements of their own, and the sets share at most half of what their sizes exceed that by. Only
 pairs whose bound suffices are met exactly, by intersection of the sorted arrays.
 
-First each text is met exactly with the text that leads most of its tiles. What those links connect needs no further
-comparison: cells then leave out pairs within a component, so a group of copies costs rows in proportion to its size. All other
-pairs are compared, so components are exact.
+A first round takes from each cell a forest only: pairs that may be linked and are not connected there yet. They are met
+exactly, and what their links connect needs no further comparison, so a group of copies costs rows in proportion to its size. The second round
+compares all pairs of different components, so components are exact.
 
 Null and wordless texts have an empty set and are linked with nothing: they are their own component. Texts with fewer words than a shingle
 have one shingle. Component ids are the least id reached; null ids count for none, and a component of null ids alone has a null one.
@@ -52,9 +52,9 @@ def growth(percent: int) -> float:
 
 
 def signature(own: np.ndarray, percent: int) -> bytes:
-    """Parities of the elements by hash; a power of two of bits, at least twice as many as the band's sets have elements."""
+    """Parities of the elements by hash; a power of two of bits, at least as many as the band's sets have elements."""
     band = int(np.log(len(own)) / growth(percent)) if len(own) else 0
-    bits = min(BITS[1], max(BITS[0], 2 << int(growth(percent) * (band + 1) / np.log(2) + 1)))
+    bits = min(BITS[1], max(BITS[0], 2 << int(growth(percent) * (band + 1) / np.log(2))))
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -102,35 +102,51 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def tiles(nodes: DataFrame, percent: int, tile: int) -> DataFrame:
-    """(cell, node, n, upper, leader): a row for each tile, or cell of a large tile, that a node stands in with others; upper rows only meet others' lower ones."""
+    """(cell, node, n, upper): a row for each tile, or cell of a large tile, that a node stands in with others; upper rows only meet others' lower ones."""
     by_key, by_tile = Window.partitionBy("key"), Window.partitionBy("key", "band")
     keys = nodes.select("node", "n", F.explode("prefix").alias("key"))
     shared = keys.withColumn("m", F.count("*").over(by_key)).where("m > 1")
     band = F.floor(F.log(F.col("n").cast("double")) / growth(percent)).cast("int")
     both = shared.select("key", "node", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("upper")).withColumn("band", band - F.col("upper"))
     lower = F.when(F.col("upper") == 0, F.col("node"))
-    held = both.select("*", F.count("*").over(by_tile).alias("m"), F.min(lower).over(by_tile).alias("leader")).where("m > 1 and leader is not null")
+    held = both.select("*", F.count("*").over(by_tile).alias("m"), F.count(lower).over(by_tile).alias("lower")).where("m > 1 and lower > 0")
     blocks = F.ceil(2 * F.col("m") / F.lit(tile)).cast("int")
     single = F.col("m") <= tile
     own = F.when(single, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
     cells = held.withColumn("own", own).withColumn("other", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
     cell = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
-    return cells.select(cell.alias("cell"), "node", "n", "upper", "leader")
+    return cells.select(cell.alias("cell"), "node", "n", "upper")
 
 
-def led(held: DataFrame) -> DataFrame:
-    """(a, b): each node b with the node a that leads most of its tiles."""
-    counted = held.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("times"))
-    best = counted.groupBy("node").agg(F.max(F.struct("times", (-F.col("leader")).alias("less"))).alias("top"))
-    return best.select((-F.col("top.less")).alias("a"), F.col("node").alias("b"))
+class Forest:
+    """Which of some labels are connected."""
 
+    def __init__(self, labels: np.ndarray):
+        self.label, self.root = labels, np.arange(int(labels.max()) + 1 if len(labels) else 0)
 
-def bounded_pairs(cell: np.ndarray, n: np.ndarray, group: np.ndarray, upper: np.ndarray, sigs: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one cell, of different groups, whose sizes and signatures allow the similarity; rows come by cell and size."""
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return self.root[self.label[rows]]
+
+    def connect(self, x: np.ndarray, y: np.ndarray) -> None:
+        root = self.root
+        for a, b in zip(self.label[x].tolist(), self.label[y].tolist(), strict=True):
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def bounded_pairs(cell: np.ndarray, n: np.ndarray, group: np.ndarray, upper: np.ndarray, sigs: list[bytes], percent: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell, of different groups, whose sizes and signatures allow the similarity; rows come by cell and size. Of a
+    ``forest`` what earlier pairs connect is left out."""
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(cell)]]))
     width = np.repeat(np.minimum.reduceat(np.fromiter(map(len, sigs), np.int64, len(sigs)), starts), sizes)
     left = np.repeat(starts + sizes, sizes) - np.arange(len(cell)) - 1
+    known = Forest(np.unique(np.stack([np.repeat(starts, sizes), group], axis=1), axis=0, return_inverse=True)[1].reshape(-1))
     for w in np.unique(width).tolist():
         rows = np.flatnonzero((width == w) & (left > 0))
         own = np.flatnonzero(width == w)
@@ -143,7 +159,7 @@ def bounded_pairs(cell: np.ndarray, n: np.ndarray, group: np.ndarray, upper: np.
             ahead = rows + apart
             near = 100 * n[rows] >= percent * n[ahead]
             rows, ahead = rows[near], ahead[near]  # what comes later in the cell is larger still
-            may = (group[rows] != group[ahead]) & ~(upper[rows] & upper[ahead])
+            may = (known.of(rows) != known.of(ahead)) & ~(upper[rows] & upper[ahead])
             for some in range(0, int(may.sum()), step):
                 x, y = rows[may][some : some + step], ahead[may][some : some + step]
                 for part in (4, w // 8):  # the first words bound the bits from below, too
@@ -152,11 +168,13 @@ def bounded_pairs(cell: np.ndarray, n: np.ndarray, group: np.ndarray, upper: np.
                     x, y = x[ok], y[ok]
                 if len(x):
                     yield x, y
+                    if forest:
+                        known.connect(x, y)
             apart += 1
             rows = rows[left[rows] >= apart]
 
 
-def cell_pairs(percent: int):
+def cell_pairs(percent: int, forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None
 
@@ -164,7 +182,7 @@ def cell_pairs(percent: int):
             if not len(t):
                 return
             cell, node, n, group, upper = (np.asarray(t[c].combine_chunks()) for c in ("cell", "node", "n", "component", "upper"))
-            for x, y in bounded_pairs(cell, n, group, upper == 1, t["sig"].to_pylist(), percent):
+            for x, y in bounded_pairs(cell, n, group, upper == 1, t["sig"].to_pylist(), percent, forest):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
 
         for b in batches:
@@ -182,29 +200,16 @@ def cell_pairs(percent: int):
     return run
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may be linked by sizes and signatures."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, m = np.asarray(b["a_n"]), np.asarray(b["b_n"])
-            ends = zip(b["a_sig"].to_pylist(), b["b_sig"].to_pylist(), strict=True)
-            bits = [int(np.bitwise_count(np.bitwise_xor(*folded([x, y], min(len(x), len(y))))).sum()) for x, y in ends]
-            may = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & may_link(n, m, np.array(bits, np.int64), percent)
-            yield b.select(["a", "b"]).filter(pa.array(may))
-
-    return near_copies.with_both(pairs, nodes, "n", "sig").mapInArrow(run, "a long, b long")
-
-
-def unlinked_pairs(held: DataFrame, nodes: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+def open_pairs(held: DataFrame, nodes: DataFrame, member: DataFrame | None, percent: int, forest: bool) -> DataFrame:
     """(a, b): pairs of different components that meet in a cell and may be linked."""
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = held.join(member, "node", "left").select("cell", "node", "n", "upper", F.coalesce("component", "node").alias("component"))
+    named = held.withColumn("component", F.col("node")) if member is None else held.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("cell")
-    open_ = materialize(named.join(several, "cell", "left_semi"), "open-cells")
+    open_ = named if member is None else materialize(named.join(several, "cell", "left_semi"), "open-cells")
     rows = open_.join(nodes.select("node", "sig"), "node").repartition(parts, "cell").sortWithinPartitions("cell", "n")
-    out = materialize(rows.select("cell", "node", "n", "upper", "component", "sig").mapInArrow(cell_pairs(percent), "a long, b long").distinct(), "bounded-pairs")
-    discard(open_)
+    out = materialize(rows.select("cell", "node", "n", "upper", "component", "sig").mapInArrow(cell_pairs(percent, forest), "a long, b long").distinct(), "bounded-pairs")
+    if member is not None:
+        discard(open_)
     return out
 
 
@@ -212,15 +217,14 @@ def links(nodes: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
     """(a, b): links that connect all nodes whose similarity suffices."""
     held = materialize(tiles(nodes, percent, tile), "tiles")
     make, enough = (lambda text: shingle_set(text, size)), (lambda a, b: linked(a, b, percent))
-    first = materialize(led(held), "led")
-    likely = materialize(bounded(first, nodes, percent), "likely")
-    near = near_copies.verified(likely, nodes, make, enough)
+    first = open_pairs(held, nodes, None, percent, forest=True)
+    near = near_copies.verified(first, nodes, make, enough)
     member = materialize(components(near, "a", "b"), "members")
-    pairs = unlinked_pairs(held, nodes, member, percent)
-    rest = materialize(pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    pairs = open_pairs(held, nodes, member, percent, forest=False)
+    rest = materialize(pairs.join(first, ["a", "b"], "left_anti"), "rest")
     more = near_copies.verified(rest, nodes, make, enough)
     out = materialize(near.union(more), "links")
-    discard(held, first, likely, near, member, pairs, rest, more)
+    discard(held, first, near, member, pairs, rest, more)
     return out
 
 
