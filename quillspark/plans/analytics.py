@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import analytics, prompts
 from quillspark.plans.registry import register
 from quillspark.plans.retrieval import SCORED, _bm25, _rounded
-from quillspark.session import table
+from quillspark.session import shared_path, table
 from quillspark.sources import readers
 from quillspark.streaming import sessions
 
@@ -380,6 +380,25 @@ def html_links(spark, sf_dir):
     return readers.html_links(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+@register("html_metadata", r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>|<style.*?</style>', '', 'g') AS body FROM pages),
+u AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t, regexp_extract_all(body, '(?is)<h1[^>]*>(.*?)</h1', 1) AS h, regexp_extract_all(body, '(?i)<a\s[^>]*>') AS a FROM b)
+SELECT page_id, nullif(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '') AS title, CAST(len(a) AS BIGINT) AS total_links,
+CAST(len(regexp_extract_all(body, '(?i)<img[\s/>]')) AS BIGINT) AS total_images, CAST(least(len(h), 10) AS BIGINT) AS n_h1,
+array_to_string(list_sort(list_distinct(list_filter(list_transform(a, lambda x: regexp_extract(x, 'href="(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"]+)', 1)), lambda d: d <> '')))[1:20], ' ') AS domains FROM u""")
+def html_metadata(spark, sf_dir):
+    rows = readers.html_metadata(table(spark, sf_dir, "pages"), "page_id", "html")
+    return rows.select("page_id", "title", "total_links", "total_images", F.coalesce(F.size(F.try_element_at("headings", F.lit("h1"))), F.lit(0)).cast("long").alias("n_h1"), F.array_join("linked_domains", " ").alias("domains"))
+
+
+@register("csv_scan", "SELECT doc_id, lang, source, CAST(length(trim(text)) AS BIGINT) AS n, md5(trim(text)) AS digest, FALSE AS malformed FROM documents")
+def csv_scan(spark, sf_dir):
+    """The documents through CSV files and back."""
+    path = shared_path(spark, "csv")
+    readers.export(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), path, "csv")
+    rows = readers.read_csv(spark, path)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"), F.col("_malformed").isNotNull().alias("malformed"))
+
+
 @register("html_text")
 def html_text(spark, sf_dir):
     return readers.html_text(table(spark, sf_dir, "pages"), "page_id", "html").drop("domains")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from html import escape
 from html.parser import HTMLParser
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 SUFFIXES = ["pdf", "docx", "txt", "html", "htm", "md", "markdown", "csv", "json"]
 DELIMITERS = [",", ";", "\t", "|", ":", " "]
@@ -51,24 +53,44 @@ def delimiter(text: Column | str) -> Column:
     return F.when((best["d"] == " ") & (-other["n"] * 2 >= -best["n"]) & (other["n"] < 0), other["d"]).when(best["n"] == 0, ",").otherwise(best["d"])
 
 
-def read_csv(spark: SparkSession, path: str, head_lines: int = 100) -> DataFrame:
-    """The rows of a CSV file as trimmed strings; encoding, delimiter and header are told from its first ``head_lines`` lines.
+def csv_files(spark: SparkSession, path: str) -> tuple[list[str], list[str], bool]:
+    """(UTF-8 files, other files, whether a quoted value holds a line break), told from every line of every file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    facts = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open")).collect()  # a row for each file
+    names = [[unquote(r.file) for r in facts if r.utf8 == kind] for kind in (True, False)]
+    return *names, any(r.open for r in facts)
 
-    Bytes that are no UTF-8 are read as ISO-8859-1. Short rows have nulls at their end. Columns without a header are named _c0, _c1, ..
+
+def read_csv(spark: SparkSession, path: str, head_lines: int = 100, malformed: str = "_malformed") -> DataFrame:
+    """The rows of CSV files as trimmed strings, and ``malformed``: the raw record where it has more or fewer values than there are columns, else null.
+
+    A file with a byte sequence that is no UTF-8, wherever it stands, is read as ISO-8859-1. Quoted values may hold line breaks: if a line of
+    any file leaves a quote open, files are read whole, else in splits. The delimiter is what
+    the first line has most of outside quotes, else what the first ``head_lines`` lines have; these also tell whether there is a header. All files have the same columns. Short rows have nulls at their end, long ones lose what has no column but for ``malformed``. Columns without a header are
+    named _c0, _c1, .. Files without a line give no rows and no columns of their own.
     """
-    lines = spark.read.option("sep", "\x01").option("quote", "").option("encoding", "ISO-8859-1").option("header", "false").csv(path).limit(head_lines).collect()
-    raw = "\n".join(r[0] or "" for r in lines).encode("latin-1")
-    try:
-        encoding, head = "UTF-8", raw.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        encoding, head = "ISO-8859-1", raw.decode("latin-1")
-    sep = spark.range(1).select(delimiter(F.lit(head))).first()[0]
+    utf8, other, open_quotes = csv_files(spark, path)
+    if not utf8 and not other:
+        return spark.createDataFrame([], f"{malformed} string")
+    first = (utf8 or other)[0]
+    lines = spark.read.text(first).select(F.col("value").cast("binary")).limit(head_lines).collect()
+    head = b"\n".join(bytes(r[0]) for r in lines).decode("utf-8-sig" if utf8 else "latin-1")
+    line = re.sub(r'"(?:[^"]|"")*(?:"|$)', "", head.split("\n", 1)[0])
+    sep = max(DELIMITERS[:-1], key=line.count)
+    if not line.count(sep):
+        sep = spark.range(1).select(delimiter(F.lit(head))).first()[0]
     try:
         header = csv.Sniffer().has_header(head)
     except csv.Error:
         header = True
-    rows = spark.read.option("sep", sep).option("encoding", encoding).option("header", str(header).lower()).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    return rows.select(*(F.trim(F.col(f"`{c}`")).alias(c) for c in rows.columns))
+    reader = {"sep": sep, "header": str(header).lower(), "escape": '"', "multiLine": str(open_quotes).lower(), "mode": "PERMISSIVE"}
+    columns = spark.read.options(**reader, encoding="UTF-8" if utf8 else "ISO-8859-1").csv(first).columns
+    schema = StructType([StructField(c, StringType()) for c in [*columns, malformed]])
+    kinds = [(files, encoding) for files, encoding in ((utf8, "UTF-8"), (other, "ISO-8859-1")) if files]
+    parts = [spark.read.schema(schema).options(**reader, encoding=encoding, columnNameOfCorruptRecord=malformed).csv(files) for files, encoding in kinds]
+    rows = reduce(DataFrame.union, parts)
+    return rows.select(*(F.trim(F.col(f"`{c}`")).alias(c) for c in columns), malformed)
 
 
 def rendered_rows(df: DataFrame, number: Column, *columns: str) -> DataFrame:
@@ -111,26 +133,114 @@ def html_links(pages: DataFrame, id_col: str, html: str, most: int = 100, clip:
     return rows.select(id_col, (F.col("p") + 1).cast("long").alias("place"), F.substring("u", 1, clip).alias("url"))
 
 
+_TAG = r"""(?:"[^"]*"|'[^']*'|[^>"'])*>"""
+_ATTRIBUTE = r"""([^\s=/"'<>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+#: Character references that are told apart in attributes and headings.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def unescaped(c: Column) -> Column:
+    return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), REFERENCES.items(), c)
+
+
+def tags_of(html: Column, name: str) -> Column:
+    """The start tags of an element, as written."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}(?=[\s/>]){_TAG}"), 0)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's first value in a start tag, null where it has none; names match in any case."""
+    names, values = (F.regexp_extract_all(tag, F.lit(f"(?s){_ATTRIBUTE}"), k) for k in (1, 2))
+    value = F.get(values, (F.array_position(F.transform(names, F.lower), name) - 1).cast("int"))
+    quoted = F.substring(value, 1, 1).isin("'", '"')
+    return unescaped(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+
+
+def html_metadata(pages: DataFrame, id_col: str, html: str, most: int = 10, most_domains: int = 20) -> DataFrame:
+    """A page's title, description, keywords, author, robots, all its meta tags and open-graph tags, JSON-LD, headings, links and images.
+
+    ``meta`` and ``open_graph`` map names (of ``meta`` in lower case) to the content of their last tag; tags without content do not count. ``json_ld``
+    has a VARIANT for each script that parses. ``headings`` maps h1 to h6 to their first ``most`` texts. Comments, and scripts and styles but for
+    JSON-LD, do not count. A null page has nulls and empty lists and maps.
+    """
+    bare = F.regexp_replace(F.coalesce(F.col(html).cast("string"), F.lit("")), r"(?s)<!--.*?-->", "")
+    body = F.regexp_replace(bare, r"(?is)<(script|style)(?=[\s/>]).*?</\1\s*>", "")
+
+    def plain(c: Column) -> Column:
+        return unescaped(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"\s+", " "), r"^\s+|\s+$", ""))
+
+    def last(entries: Column) -> Column:
+        """A map of entries whose first of each key counts."""
+        keys = F.transform(entries, lambda x: x["k"])
+        return F.map_from_entries(F.filter(entries, lambda e, k: F.array_position(keys, e["k"]) == k + 1))
+
+    def named(name: str) -> Column:
+        return F.try_element_at(F.transform(F.filter("metas", lambda m: m["name"] == name), lambda m: m["content"]), F.lit(-1))
+
+    meta = F.transform(
+        tags_of(F.col("body"), "meta"),
+        lambda t: F.struct(F.lower(F.coalesce(attribute(t, "name"), F.lit(""))).alias("name"), F.coalesce(attribute(t, "property"), F.lit("")).alias("property"), F.coalesce(attribute(t, "content"), F.lit("")).alias("content")),
+    )
+    scripts = F.regexp_extract_all("bare", F.lit(r"""(?is)<script(?=[^>]*?\stype\s*=\s*["']?application/ld\+json["'\s>])[^>]*>(.*?)</script\s*>"""), 1)
+    rows = pages.select(F.col(id_col), bare.alias("bare"), body.alias("body")).withColumns(
+        {
+            "metas": F.filter(meta, lambda m: m["content"] != ""),
+            "hrefs": F.transform(tags_of(F.col("body"), "a"), lambda t: attribute(t, "href")),
+            "alts": F.transform(tags_of(F.col("body"), "img"), lambda t: attribute(t, "alt")),
+        }
+    )
+    entries = F.transform(F.reverse("metas"), lambda m: F.struct(F.when(m["name"] != "", m["name"]).otherwise(F.lower(m["property"])).alias("k"), m["content"].alias("v")))
+    graph = F.transform(F.filter(F.reverse("metas"), lambda m: m["property"].startswith("og:")), lambda m: F.struct(m["property"].alias("k"), m["content"].alias("v")))
+    keywords = F.filter(F.transform(F.split(named("keywords"), ","), lambda k: F.trim(k)), lambda k: k != "")
+    levels = [F.struct(F.lit(f"h{n}").alias("k"), F.transform(F.slice(F.regexp_extract_all("body", F.lit(rf"(?is)<h{n}(?=[\s/>])[^>]*>(.*?)</h{n}\s*>"), 1), 1, most), plain).alias("v")) for n in range(1, 7)]
+    hosts = F.transform("hrefs", lambda u: F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1))
+    title = F.regexp_extract("body", r"(?is)<title(?=[\s/>])[^>]*>(.*?)</title\s*>", 1)
+    return rows.select(
+        F.col(id_col),
+        F.nullif(plain(title), F.lit("")).alias("title"),
+        *(named(n).alias(n) for n in ("description", "author", "robots")),
+        F.coalesce(keywords, F.array().cast("array<string>")).alias("keywords"),
+        last(F.filter(entries, lambda e: e["k"] != "")).alias("meta"),
+        last(graph).alias("open_graph"),
+        F.filter(F.transform(scripts, lambda x: F.try_parse_json(x)), lambda j: j.isNotNull()).alias("json_ld"),
+        F.map_from_entries(F.filter(F.array(*levels), lambda e: F.size(e["v"]) > 0)).alias("headings"),
+        F.size("hrefs").cast("long").alias("total_links"),
+        F.slice(F.array_sort(F.array_distinct(F.filter(hosts, lambda d: d != ""))), 1, most_domains).alias("linked_domains"),
+        F.size("alts").cast("long").alias("total_images"),
+        F.size(F.filter("alts", lambda x: F.coalesce(x, F.lit("")) != "")).cast("long").alias("images_with_alt"),
+    )
+
+
 # Elements that are dropped, and inline elements.
 DROPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe", "button", "input", "svg", "canvas", "object"}
-MAIN = ("main", "article")
+# What marks the main content, the surest first. Of the first kind that a page has, its first element counts.
+MAIN = ["main", "article", 'div[role="main"]', ".main-content", "#main-content", ".content", "#content", ".post-content", ".article-content"]
 BLOCKS = {"p", "div", "section", "article", "main", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "title"}
 VOID = {"br", "img", "meta", "link", "hr", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
+def main_marks(tag: str, attrs: dict[str, str | None]) -> int:
+    """A bit for each kind of ``MAIN`` that an element is."""
+    classes, name = (attrs.get("class") or "").split(), attrs.get("id")
+    own = [k for k in MAIN if k == tag or k[0] == "." and k[1:] in classes or k[0] == "#" and k[1:] == name]
+    if tag == "div" and attrs.get("role") == "main":
+        own.append(MAIN[2])
+    return sum(1 << MAIN.index(k) for k in own)
+
+
 class Walker(HTMLParser):
     """Structured text of a page: headings as # lines, list items, quotes and paragraphs; tables and links beside them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parts: list[tuple[bool, str]] = []
+        self.parts: list[tuple[int, str]] = []
         self.links: list[str] = []
         self.tables: list[list[list[str]]] = []
         self.now: list[str] = []
         self.mark = ""
         self.skip = 0
-        self.main = 0
-        self.open: list[tuple[str, bool, bool]] = []
+        self.inside = self.found = 0
+        self.open: list[tuple[str, bool, int]] = []
         self.opened: Counter[str] = Counter()
         self.stack: list[str] = []
         self.number = 0
@@ -138,18 +248,20 @@ class Walker(HTMLParser):
     def flush(self) -> None:
         line = " ".join("".join(self.now).split())
         if line:
-            self.parts.append((self.main > 0, self.mark + line))
+            self.parts.append((self.inside, self.mark + line))
         self.now, self.mark = [], ""
 
     def handle_starttag(self, tag, attrs):
-        dropped, marks = tag in DROPPED, tag in MAIN or dict(attrs).get("role") == "main"
+        dropped = tag in DROPPED
+        marks = 0 if self.skip or dropped or tag in VOID else main_marks(tag, dict(attrs)) & ~self.found
+        self.found |= marks
         if not self.skip and (dropped or marks or tag in BLOCKS or tag in ("br", "tr")):
             self.flush()
         if tag not in VOID:
             self.open.append((tag, dropped, marks))
             self.opened[tag] += 1
             self.skip += dropped
-            self.main += marks
+            self.inside |= marks
         if self.skip or dropped:
             return
         if tag == "a" and (href := dict(attrs).get("href")) and href not in self.links:
@@ -184,7 +296,7 @@ class Walker(HTMLParser):
             self.skip -= dropped
             if marks and not self.skip:
                 self.flush()
-            self.main -= marks
+            self.inside &= ~marks
         if self.skip or dropped:
             return
         if tag in ("td", "th") and self.tables and self.tables[-1]:
@@ -199,14 +311,15 @@ class Walker(HTMLParser):
 
 
 def walk(html: str | None) -> tuple[str, int, int, list[str]]:
-    """(text, tables, links, linked domains): the main content if the page marks it, else everything."""
+    """(text, tables, links, linked domains): the first element of the surest kind of main content that the page has, else everything."""
     w = Walker()
     w.feed(html or "")
     w.close()
     w.flush()
-    marked = [t for m, t in w.parts if m]
+    best = w.found & -w.found
+    texts = [t for inside, t in w.parts if not best or inside & best]
     domains = sorted({d for u in w.links if (d := urlparse(u).netloc)})
-    return "\n\n".join(marked or [t for _, t in w.parts]), len(w.tables), len(w.links), domains[:20]
+    return "\n\n".join(texts), len(w.tables), len(w.links), domains[:20]
 
 
 def html_text(pages: DataFrame, id_col: str, html: str, most: int = 1_000_000) -> DataFrame:
@@ -336,7 +449,8 @@ def export(df: DataFrame, path: str, kind: str) -> None:
     if kind == "json":
         df.write.json(path)
     elif kind == "csv":
-        df.write.option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+        kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        df.write.options(header="true", quote='"', escape='"', **kept).csv(path)
     elif kind == "txt":
         df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
     else:
