@@ -270,9 +270,11 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     discard(distinct)
 
     texts = rows.where("num is null").select("shard", "id", "nums")
-    of = own.join(known.select("stretch", "links"), "stretch").select(F.col("shard").alias("of"), "num", "links")
+    # Written out, so that the shuffles of this join are gone when the shards' links travel.
+    of = materialize(own.join(known.select("stretch", "links"), "stretch").select(F.col("shard").alias("of"), "num", "links"), "placed", "zstd")
     schema = f"shard long, id {id_type}, nums binary, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, pair long, n long"
     found = materialize(texts.groupBy("shard").cogroup(of.groupBy("of")).applyInArrow(met, schema), "met", "zstd")
+    discard(of)
 
     pair = F.shiftright("link", 2)
     counts = materialize(found.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", PAIR_BITS)), "pair-counts")
