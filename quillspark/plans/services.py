@@ -10,7 +10,7 @@ from quillspark.plans.retrieval import SCORED, _bm25, _rounded
 from quillspark.plans.texts import _SENT
 from quillspark.session import table
 from quillspark.sources import readers
-from quillspark.streaming import sessions
+from quillspark.streaming import conversations, sessions
 
 
 @register("pack_batches")
@@ -121,3 +121,11 @@ def transcript_lines(spark, sf_dir):
     start = F.col("turn") * 65.0
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(start.alias("start"), (start + 60.0).alias("end"), "text"))).alias("segments"))
     return rows.select("conv_id", readers.segments_text("segments").alias("transcript"))
+
+
+@register("event_follow_ups", """SELECT a.event_id AS first_id, b.event_id AS then_id, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR
+WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+def event_follow_ups(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    pairs = conversations.follow_ups(events.where("event_type = 'click'"), events.where("event_type = 'purchase'"), "user_id", "event_id", "ts", "1 hour")
+    return pairs.select("first_id", "then_id", "user_id")

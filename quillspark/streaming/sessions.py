@@ -1,4 +1,4 @@
-"""Sessions, limits, alerts and conversation state, for streams and for their batch twins."""
+"""Sessions, limits and alerts, for streams and for their batch twins."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from quillspark.streaming import conversations
+
 MICROS = 1_000_000
 
 
@@ -44,7 +45,7 @@ def window_counts(events: DataFrame, key: str, ts: str, limit: int, seconds: int
     return events.withColumn("in_window", F.count("*").over(w)).withColumn("allowed", F.col("in_window") <= limit)
 
 
-def _limiter(times: list[float], seen: list[float], blocked: float, most: int, seconds: float, block: float) -> tuple[list[bool], list[float], float]:
+def decided(times: list[float], seen: list[float], blocked: float, most: int, seconds: float, block: float) -> tuple[list[bool], list[float], float]:
     """Decisions for ordered times given the allowed ones before; a full window blocks for ``block`` seconds if that is above 0."""
     out = []
     for t in times:
@@ -61,51 +62,31 @@ def _limiter(times: list[float], seen: list[float], blocked: float, most: int, s
     return out, seen, blocked
 
 
-def limited(events: DataFrame, key: str, ts: str, id_col: str, most: int, seconds: float = 60.0, block: float = 0.0) -> DataFrame:
+def limited(events: DataFrame, key: str, ts: str, id_col: str, most: int, seconds: float = 60.0, block: float = 0.0, late: str = "10 minutes") -> DataFrame:
     """(id, key, allowed): only allowed requests count towards the limit, so each decision depends on those before.
 
-    Streams keep the allowed times of the window as state; tables decide one key after another.
+    Streams keep the allowed times of the window as state; tables are sorted by key and time and decided row by row, with the
+    window of one key in memory. Streams drop what comes later than the watermark.
     """
-    rows = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / MICROS).alias("t"))
+    at = F.col(ts).cast("timestamp")
+    rows = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"), (F.unix_micros(at) / MICROS).alias("t"), at.alias("ts"))
     schema = f"id {events.schema[id_col].dataType.simpleString()}, key {events.schema[key].dataType.simpleString()}, allowed boolean"
-
-    def decide(name, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, blocked = (list(state.get[0]), state.get[1]) if state.exists else ([], 0.0)
-        pdf = pd.concat(list(pdfs)).sort_values(["t", "id"])
-        out, seen, blocked = _limiter(pdf["t"].tolist(), seen, blocked, most, seconds, block)
-        state.update((seen, blocked))
-        yield pdf.assign(allowed=out)[["id", "key", "allowed"]]
-
     if events.isStreaming:
-        return rows.groupBy("key").applyInPandasWithState(decide, schema, "seen array<double>, blocked double", "append", GroupStateTimeout.NoTimeout)
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        return pdf.assign(allowed=_limiter(pdf["t"].tolist(), [], 0.0, most, seconds, block)[0])[["id", "key", "allowed"]]
-
-    return rows.groupBy("key").applyInPandas(whole, schema)
-
-
-def conversation_state(messages: DataFrame, session: str, kind: str, text: str, seq: str, most: int = 10) -> DataFrame:
-    """(session, seq, event, context_size) of a message stream: queries grow a capped history, cancel clears it, others answer as they are."""
-    rows = messages.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.col(kind).alias("kind"), F.col(text).alias("text"))
-
-    def step(name, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(pdfs)).sort_values("seq")
-        events, sizes = [], []
-        for k, t in zip(pdf["kind"], pdf["text"], strict=True):
-            if k == "query":
-                history = [*history, t or ""][-most:]
-            elif k == "cancel":
-                history = []
-            events.append({"query": "answer", "cancel": "cancelled", "ping": "pong", "settings": "settings_updated", "history": "history"}.get(k, "error"))
-            sizes.append(len(history))
-        state.update((history,))
-        yield pdf.assign(event=events, context_size=sizes)[["session", "seq", "event", "context_size"]]
-
-    schema = f"session {messages.schema[session].dataType.simpleString()}, seq {messages.schema[seq].dataType.simpleString()}, event string, context_size long"
-    return rows.groupBy("session").applyInPandasWithState(step, schema, "history array<string>", "append", GroupStateTimeout.NoTimeout)
+        return conversations.limited_stream(rows, schema, most, seconds, block, late)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen, blocked = None, [], 0.0
+        for pdf in pdfs:
+            out: list[bool] = []
+            for name, times in pdf.groupby("key", sort=False, dropna=False)["t"]:
+                if now is None or not (name == now[0] or (pd.isna(name) and pd.isna(now[0]))):
+                    now, seen, blocked = (name,), [], 0.0
+                some, seen, blocked = decided(times.tolist(), seen, blocked, most, seconds, block)
+                out += some
+            yield pdf.assign(allowed=out)[["id", "key", "allowed"]]
+
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.drop("ts").repartition(parts, "key").sortWithinPartitions("key", "t", "id").mapInPandas(run, schema)
 
 
 def alerts(events: DataFrame, ts: str, value: str, failed: Column, size: str = "5 minutes", p95_ms: float = 1000.0, error_ratio: float = 0.05) -> DataFrame:
