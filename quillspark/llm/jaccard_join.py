@@ -33,7 +33,7 @@ from quillspark.llm.components import components
 from quillspark.llm.simhash import shingle_hashes
 
 #: Least and most bits of a signature.
-BITS = (256, 65_536)
+BITS = (1024, 65_536)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
