@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.stem import stemmed
 from quillspark.functions.text import metric_tokens, overlap_tokens
 
 
@@ -80,18 +81,19 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.element_at(F.transform(F.array(tokens), of), 1)
 
 
-def clipped_overlap(pairs: DataFrame, id_col: str, candidate: str, reference: str, n: int) -> DataFrame:
-    """(id, overlap, n_candidate, n_reference): n-gram counts, shared ones by the smaller count."""
-    tokens = pairs.select(id_col, metric_tokens(candidate).alias("_c"), metric_tokens(reference).alias("_r"))
+def clipped_overlap(pairs: DataFrame, id_col: str, candidate: str, reference: str, n: int, stems: bool = False) -> DataFrame:
+    """(id, overlap, n_candidate, n_reference): n-gram counts, shared ones by the smaller count; ``stems`` counts words of over three letters by their stems."""
+    words = lambda c: stemmed(metric_tokens(c)) if stems else metric_tokens(c)
+    tokens = pairs.select(id_col, words(candidate).alias("_c"), words(reference).alias("_r"))
     both = tokens.select(id_col, ngrams(F.col("_c"), n).alias("c"), ngrams(F.col("_r"), n).alias("r"))
     sides = both.select(id_col, F.explode("c").alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r")).union(both.select(id_col, F.explode("r"), F.lit(0), F.lit(1)))
     counted = sides.groupBy(id_col, "g").agg(F.sum("c").alias("c"), F.sum("r").alias("r")).groupBy(id_col).agg(F.sum(F.least("c", "r")).alias("overlap"))
     return both.select(id_col, F.size("c").cast("long").alias("n_candidate"), F.size("r").cast("long").alias("n_reference")).join(counted, id_col, "left").fillna(0, ["overlap"])
 
 
-def rouge_n(pairs: DataFrame, id_col: str, candidate: str, reference: str, n: int = 1) -> DataFrame:
-    """(id, precision, recall, f1) of n-grams without stemming."""
-    o = clipped_overlap(pairs, id_col, candidate, reference, n)
+def rouge_n(pairs: DataFrame, id_col: str, candidate: str, reference: str, n: int = 1, stems: bool = False) -> DataFrame:
+    """(id, precision, recall, f1) of n-grams of words, or of their stems."""
+    o = clipped_overlap(pairs, id_col, candidate, reference, n, stems)
     p = F.when(F.col("n_candidate") > 0, F.col("overlap") / F.col("n_candidate")).otherwise(0.0)
     r = F.when(F.col("n_reference") > 0, F.col("overlap") / F.col("n_reference")).otherwise(0.0)
     return o.select(id_col, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))

@@ -23,7 +23,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from quillspark.plans import analytics, retrieval, services, stores, texts  # noqa: F401
+    from quillspark.plans import analytics, metrics, retrieval, services, stores, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
