@@ -57,6 +57,24 @@ def means(rows: DataFrame, queries: DataFrame, query: str) -> DataFrame:
     return full.agg(*(F.avg(n).alias(n) for n in names))
 
 
+def score_ndcg(rows: DataFrame, relevant: str, scores: str, k: int, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ndcg: gains are the scores at the places of an ordered list of relevant items, not grades of a ranking.
+
+    The gain at place i counts if the item there is in ``counted`` (one row with an array ``items``: that of the first query for parity with the starting
+    point, by default the row's own list). The ideal order takes as an item's gain the score at the place of its number; items beyond the scores have none.
+    """
+    rows = rows.join(F.broadcast(counted.select(F.col("items").alias("_counted")))) if counted is not None else rows.withColumn("_counted", F.col(relevant))  # one row
+    most = lambda a: F.slice(a, 1, k)
+    at = lambda items, gain: F.aggregate(F.zip_with(items, F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1))), lambda x, i: F.coalesce(gain(x), F.lit(0.0)) / F.log2(i + 1.0)), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    pairs = most(F.slice(F.arrays_zip(F.col(relevant).alias("i"), F.col(scores).alias("s")), F.lit(1), F.greatest(F.least(F.size(relevant), F.size(scores)), F.lit(0))))
+    dcg = at(pairs, lambda x: F.when(F.array_contains("_counted", x["i"]), x["s"]))
+    own = lambda x: F.get(F.col(scores), x.cast("int"))
+    # Sorted by the score at the item's place in the list, as long as the item's number is within the scores; ties keep the list's order.
+    placed = F.transform(F.col(relevant), lambda x, i: F.struct(F.when(x < F.size(scores), -F.coalesce(F.get(F.col(scores), (F.array_position(F.col(relevant), x) - 1).cast("int")), F.lit(0.0))).otherwise(0.0).alias("by"), i.alias("i"), x.alias("x")))
+    ideal = at(most(F.transform(F.array_sort(placed), lambda e: e["x"])), lambda x: F.when(x < F.size(scores), own(x)))
+    return rows.withColumn("ndcg", F.when(ideal > 0, dcg / ideal).otherwise(0.0)).drop("_counted")
+
+
 # --- text pairs
 
 
@@ -238,3 +256,48 @@ def threshold_confidence(score: Column, threshold: float) -> Column:
 def aggregate_scores(rows: DataFrame, score: str, positive: Column, *by: str) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.groupBy(*by).agg(F.count("*").alias("n"), zero(F.avg(score)).alias("mean"), zero(F.stddev_pop(score)).alias("std"), zero(F.min(score)).alias("lowest"), zero(F.max(score)).alias("highest"), zero(F.avg(positive.cast("double"))).alias("positive_ratio"))
+
+
+def judged_pairs(rows: DataFrame, score: str, threshold: float = 0.5, truth: str | None = None) -> DataFrame:
+    """``rows`` of single pairs with is_relevant, confidence and, where a truth is known, correct."""
+    relevant = F.col(score) >= threshold
+    out = rows.withColumns({"is_relevant": relevant, "confidence": threshold_confidence(F.col(score), threshold)})
+    return out.withColumn("correct", F.when(F.col(truth).isNotNull(), relevant == F.col(truth))) if truth else out
+
+
+# Weights of the faithfulness methods.
+FAITHFULNESS = {"nli": 0.5, "semantic": 0.3, "token": 0.2}
+
+
+def faithfulness(rows: DataFrame, generated: str, source: str, method: str = "ensemble", threshold: float = 0.5, scorers: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """``rows`` with score, confidence and faithful, by one method or the ensemble of those there are.
+
+    ``token`` is the F1 of content words; ``nli`` and ``semantic`` are injected as functions of (generated, source) columns, since they need a model. A method without
+    a scorer raises; the ensemble takes the weights of the methods it has. Null texts count as empty.
+    """
+    known: dict[str, Callable[[Column, Column], Column]] = {"token": lambda g, s: overlap_scores(g, s)["f1"], **(scorers or {})}
+    if method != "ensemble" and method not in known:
+        raise ValueError(f"no scorer for {method}" if method in FAITHFULNESS else f"unknown method {method}")
+    names = [n for n in FAITHFULNESS if n in known] if method == "ensemble" else [method]
+    g, s = (F.coalesce(F.col(c), F.lit("")) for c in (generated, source))
+    scored = rows.withColumns({f"{n}_score": known[n](g, s) for n in names})
+    cols = [F.col(f"{n}_score") for n in names]
+    score = weighted_mean(cols, [FAITHFULNESS[n] for n in names])
+    sure = agreement(cols) if len(cols) > 1 else threshold_confidence(score, threshold)
+    return scored.withColumns({"score": score, "confidence": sure}).withColumn("faithful", F.col("score") >= threshold)
+
+
+def consistency(rows: DataFrame, generated: str, context: str, entail: Callable[[Column, Column], Column]) -> DataFrame:
+    """``rows`` with consistency: the probability of an injected classifier (a struct of label and p) that the context entails the text, or 1 less it for other labels."""
+    out = rows.withColumn("_r", entail(F.coalesce(context, F.lit("")), F.coalesce(generated, F.lit(""))))
+    p = F.col("_r.p")
+    return out.withColumn("consistency", F.when(F.lower("_r.label") == "entailment", p).otherwise(1.0 - p)).drop("_r")
+
+
+def self_consistency(samples: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, consistency): the mean token F1, from 0 to 1, of every two samples of one answer; a single sample agrees with itself."""
+    rows = samples.select(id_col, text, F.monotonically_increasing_id().alias("_n"))
+    a, b = rows.select(id_col, F.col(text).alias("_a"), F.col("_n").alias("_x")), rows.select(id_col, F.col(text).alias("_b"), F.col("_n").alias("_y"))
+    pairs = a.join(b, id_col).where("_x < _y")  # samples of an answer are few
+    mean = pairs.groupBy(id_col).agg(F.avg(token_f1("_a", "_b") / 100.0).alias("consistency"))
+    return samples.select(id_col).distinct().join(mean, id_col, "left").na.fill(1.0, ["consistency"])

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.functions.text import words
 from quillspark.operators.ranking import top_k
@@ -28,6 +29,17 @@ def ensemble(rankings: list[DataFrame], weights: list[float], query: str, item:
     return reduce(DataFrame.union, parts).groupBy(query, item).agg((F.sum if method == "weighted" else F.max)("s").alias("score"))
 
 
+def spliced(ranked: DataFrame, reranked: DataFrame, query: str, item: str) -> DataFrame:
+    """``ranked`` (query, item, score, rank) in the order of a reranker: items that it scored come first, by its score, the others follow in their old order.
+
+    Ids are kept throughout, so equal texts are not mixed up. Scores are the reranker's where it has one.
+    """
+    new = reranked.select(query, item, F.col("score").alias("_new"))
+    w = Window.partitionBy(query).orderBy(F.col("_new").isNull(), F.round("_new", 6).desc(), "rank", item)
+    joined = ranked.join(new, [query, item], "left").withColumn("_rank", F.row_number().over(w).cast("long"))
+    return joined.select(query, item, F.coalesce("_new", "score").alias("score"), F.col("_rank").alias("rank"))
+
+
 # Feature weights and the words that count as important.
 FEATURE_WEIGHTS = {"relevance_score": 0.4, "text_length": 0.1, "query_overlap": 0.2, "position_bonus": 0.1, "keyword_coverage": 0.2}
 IMPORTANT_WORDS = ["important", "key", "critical", "main", "significant"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text, vector
-from quillspark.operators import keyword, proximity, ranking, rerank, vectors
+from quillspark.operators import keyword, proximity, ranking, rerank, retrievers, vectors
 from quillspark.plans.registry import register
 from quillspark.session import shared_path, table
 
@@ -289,6 +289,23 @@ def delete_anti(spark, sf_dir):
 # --- retrievers
 
 
+@register("retriever_hybrid", f"""WITH {BOTH}, f AS (SELECT item_id, doc_id, {_FUSIONS["weighted"]} AS score FROM half),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM f) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def retriever_hybrid(spark, sf_dir):
+    """The factory's hybrid retriever over two keyword retrievers; its weights are brought to a sum of 1."""
+    parts = [retrievers.create_retriever("keyword", index=_index(spark, sf_dir), method=m) for m in ("bm25", "tfidf")]
+    return _rounded(retrievers.create_retriever("hybrid", parts=parts, weights=[1.4, 0.6], k=5).retrieve(table(spark, sf_dir, "benchmark")), "score")
+
+
+@register("rerank_splice", f"""WITH {SCORED}, t AS (SELECT item_id, doc_id, score AS s FROM tfidf), j AS (SELECT b20.item_id, doc_id, b20.score, b20.rank, CASE WHEN b20.rank <= 10 THEN s END AS s FROM b20 LEFT JOIN t USING (item_id, doc_id))
+SELECT item_id, doc_id, round(coalesce(s, score), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY s IS NULL, round(s, 6) DESC, rank, doc_id) AS rank FROM j""")
+def rerank_splice(spark, sf_dir):
+    """The ten best of twenty are scored anew and put back in front of the others."""
+    ranked = _bm25(spark, sf_dir).select("item_id", "doc_id", "score", "rank")
+    again = ranked.where("rank <= 10").select("item_id", "doc_id").join(keyword.tfidf_scores(_index(spark, sf_dir), table(spark, sf_dir, "benchmark")), ["item_id", "doc_id"])
+    return _rounded(rerank.spliced(ranked, again, "item_id", "doc_id"), "score")
+
+
 @register("retrieve_multistage", f"WITH {SCORED}, c AS (SELECT item_id, doc_id, tfidf.score FROM b20 JOIN tfidf USING (item_id, doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM c) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def retrieve_multistage(spark, sf_dir):
     scores = keyword.tfidf_scores(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import chunking, evaluation, expansion, keyword, proximity, vectors
+from quillspark.operators import chunking, evaluation, expansion, keyword, proximity, responses, vectors
 from quillspark.plans.registry import register
 from quillspark.plans.retrieval import SCORED, STOP, _bm25, _index, _rounded
 from quillspark.session import table
@@ -485,6 +485,28 @@ def source_validate(spark, sf_dir):
     return cited.join(F.broadcast(known), F.contains(a, b) | F.contains(b, a), "left_semi")
 
 
+_WS = sql_strip("regexp_replace(regexp_replace(regexp_replace(t, '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '\\s+([.,!?;:])', '\\1', 'g')")
+_THINK = sql_strip("regexp_replace(regexp_replace(coalesce(t, ''), '(?s)<think>.*?</think>', '', 'g'), '(?s)\\[THINK\\].*?\\[/THINK\\]', '', 'g')")
+_FORMAT = rf"CASE WHEN {_JSON} <> '' AND json_valid({_JSON}) AND NOT regexp_matches({_JSON}, '^\{{\s*\}}$') THEN 'json' WHEN len({_BUL}) > 0 THEN 'bullet_points' WHEN len({_NUM}) > 0 THEN 'numbered_list' WHEN len({_CODE}) > 0 THEN 'code' WHEN len({_TAB}) > 0 THEN 'table' ELSE 'text' END"
+
+
+@register("process_responses", f"""WITH {_RESP}, k AS (SELECT rid, coalesce(t, '') <> '' AS full_, {_THINK} AS t FROM r), z AS (SELECT rid, full_, {_WS} AS t FROM k), a AS (SELECT *, {_H0} AS s FROM z),
+b AS (SELECT rid, full_, t, s + CASE WHEN s > 0.2::DOUBLE AND NOT {_any('lower(t)', text.HEDGE_WORDS)} THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS s FROM a),
+c AS (SELECT rid, full_, t, s + CASE WHEN len({sql_words('t')}) > 100 AND s > 0.3::DOUBLE THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS s FROM b), d AS (SELECT rid, full_, t, least(1.0::DOUBLE, s + CASE WHEN {_OPP} THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) AS s FROM c)
+SELECT rid, CASE WHEN full_ THEN t ELSE '' END AS cleaned, CASE WHEN full_ THEN {_FORMAT} ELSE 'text' END AS format, round(CASE WHEN full_ THEN greatest(0.0, least(1.0, {_CONF})) ELSE 0.0 END, 6) AS confidence,
+round(CASE WHEN full_ THEN s ELSE 0.0 END, 6) AS hallucination_score, full_ AND s > 0.3::DOUBLE AS has_hallucination, CASE WHEN full_ THEN array_to_string({_CITE}, '|') ELSE '' END AS sources FROM d""")
+def process_responses(spark, sf_dir):
+    rows = responses.processed(_responses(spark, sf_dir).withColumn("context", F.lit("given")), "t", "context")
+    return rows.select("rid", "cleaned", "format", F.round("confidence", 6).alias("confidence"), F.round("hallucination_score", 6).alias("hallucination_score"), "has_hallucination", F.array_join("sources", "|").alias("sources"))
+
+
+@register("faith_method_token", f"""WITH {_PAIRS}, o AS (SELECT pair_id, {_overlap_sql('candidate')} AS a, {_overlap_sql('reference')} AS b FROM p),
+s AS (SELECT pair_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0.0 END AS f FROM o)
+SELECT pair_id, round(f, 6) AS score, round(greatest(0.0, least(1.0, 1.0 - abs(f - 0.5) / 0.5)), 6) AS confidence, f >= 0.5 AS faithful FROM s""")
+def faith_method_token(spark, sf_dir):
+    return _rounded(evaluation.faithfulness(_pairs(spark, sf_dir), "candidate", "reference", "token").select("pair_id", "score", "confidence", "faithful"), "score", "confidence")
+
+
 # --- validation
 
 _SAMPLES = ["a.b@c.org", "bad@", "123e4567-e89b-12d3-a456-426614174000", "user_name-1", "ab", "my-slug-2", "#a0B1c2", "https://example.com/x?y=1", "http:///x", "10.0.0.1", "1.2.3", "doc_abcDEF123", "session_1", "query_abcdefgh", "Passw0rd!", "password", "", "x" * 30]
