@@ -13,6 +13,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -70,16 +71,17 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes, n_tokens, over_limit) of every row of ``docs``."""
     path = path or tokens.default_path()
     spark = docs.sparkSession
+    name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, path, sample_docs, max_frequent))
     id_type = docs.schema[id_col].dataType
 
     def counted(t: tokens.Library, texts: list[str]) -> list[int]:
         if not isinstance(t, tokens.ByteLevel):
             return [len(x) for x in t.encode_many(texts)]
-        if path not in _TIERS:
+        if name not in _TIERS:  # a worker that is used again has the tiers of another query
             _TIERS.clear()
-            _TIERS[path] = Tiers(shared.value, t, max_cached)
-        return _TIERS[path].count(texts)
+            _TIERS[name] = Tiers(shared.value, t, max_cached)
+        return _TIERS[name].count(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.load(path)
