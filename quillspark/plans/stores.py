@@ -17,9 +17,16 @@ def _versions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", number.alias("version_number"))
 
 
-@register("version_compare", f"WITH {_V} SELECT a.conv_id, a.turn AS old_turn, b.turn AS new_turn, CAST(strlen(b.text) AS BIGINT) - strlen(a.text) AS bytes_added, a.text = b.text AS same FROM v a JOIN v b USING (conv_id) WHERE a.n = 1 AND b.n = 2")
+_WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda x: x <> '')"
+
+
+@register("version_compare", f"""WITH {_V}, c AS (SELECT a.conv_id, a.turn AS old_turn, b.turn AS new_turn, a.text AS o, b.text AS n, {_WORDS.format('a.text')} AS x, {_WORDS.format('b.text')} AS y FROM v a JOIN v b USING (conv_id) WHERE a.n = 1 AND b.n = 2),
+k AS (SELECT *, len(list_intersect(list_distinct(x), list_distinct(y))) AS both_ FROM c)
+SELECT conv_id, old_turn, new_turn, CAST(strlen(n) AS BIGINT) - strlen(o) AS bytes_added, o = n AS same, CAST(len(x) AS BIGINT) AS words_old, CAST(len(y) AS BIGINT) AS words_new,
+CAST(len(list_distinct(y)) - both_ AS BIGINT) AS added, CAST(len(list_distinct(x)) - both_ AS BIGINT) AS removed, CAST(both_ AS BIGINT) AS common FROM k""")
 def version_compare(spark, sf_dir):
-    return stores.compared(_versions(spark, sf_dir), "conv_id", 1, 2, "text").select("conv_id", "old_turn", "new_turn", "bytes_added", "same")
+    diff = ["words_old", "words_new", "added", "removed", "common"]
+    return stores.compared(_versions(spark, sf_dir), "conv_id", 1, 2, "text").select("conv_id", "old_turn", "new_turn", "bytes_added", "same", *diff)
 
 
 @register("version_export", f"WITH {_V} SELECT 'conv_id: ' || conv_id || chr(10) || 'turn: ' || turn || chr(10) || 'version_number: ' || n || chr(10) || chr(10) || coalesce(text, '') AS value FROM v")

@@ -62,12 +62,12 @@ def csv_files(spark: SparkSession, path: str) -> tuple[list[str], list[str], boo
     return *names, any(r.open for r in facts)
 
 
-def read_csv(spark: SparkSession, path: str, head_lines: int = 100, malformed: str = "_malformed") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, head_lines: int = 100, malformed: str = "_malformed", header: bool | None = None) -> DataFrame:
     """The rows of CSV files as trimmed strings, and ``malformed``: the raw record where it has more or fewer values than there are columns, else null.
 
     A file with a byte sequence that is no UTF-8, wherever it stands, is read as ISO-8859-1. Quoted values may hold line breaks: if a line of
     any file leaves a quote open, files are read whole, else in splits. The delimiter is what
-    the first line has most of outside quotes, else what the first ``head_lines`` lines have; these also tell whether there is a header. All files have the same columns. Short rows have nulls at their end, long ones lose what has no column but for ``malformed``. Columns without a header are
+    the first line has most of outside quotes, else what the first ``head_lines`` lines have; these also tell whether there is a header, unless ``header`` says so. All files have the same columns. Short rows have nulls at their end, long ones lose what has no column but for ``malformed``. Columns without a header are
     named _c0, _c1, .. Files without a line give no rows and no columns of their own.
     """
     utf8, other, open_quotes = csv_files(spark, path)
@@ -80,10 +80,11 @@ def read_csv(spark: SparkSession, path: str, head_lines: int = 100, malformed: s
     sep = max(DELIMITERS[:-1], key=line.count)
     if not line.count(sep):
         sep = spark.range(1).select(delimiter(F.lit(head))).first()[0]
-    try:
-        header = csv.Sniffer().has_header(head)
-    except csv.Error:
-        header = True
+    if header is None:
+        try:
+            header = csv.Sniffer().has_header(head)
+        except csv.Error:
+            header = True
     reader = {"sep": sep, "header": str(header).lower(), "escape": '"', "multiLine": str(open_quotes).lower(), "mode": "PERMISSIVE"}
     columns = spark.read.options(**reader, encoding="UTF-8" if utf8 else "ISO-8859-1").csv(first).columns
     schema = StructType([StructField(c, StringType()) for c in [*columns, malformed]])
@@ -422,10 +423,10 @@ def sanitize_html(html: Column | str, allowed: list[str] | None = None) -> Colum
 
 
 def squad(spark: SparkSession, path: str) -> DataFrame:
-    """(query, reference, context) of nested article / paragraph / question JSON; the first answer counts."""
+    """(query, reference, context) of nested article / paragraph / question JSON; the first answer counts, a question without any has null."""
     raw = spark.read.option("multiLine", "true").json(path)
     paragraphs = raw.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p"))
-    return paragraphs.select("p.context", F.explode("p.qas").alias("q")).select(F.col("q.question").alias("query"), F.col("q.answers")[0]["text"].alias("reference"), "context")
+    return paragraphs.select("p.context", F.explode("p.qas").alias("q")).select(F.col("q.question").alias("query"), F.get("q.answers", F.lit(0))["text"].alias("reference"), "context")
 
 
 def qa_pairs(spark: SparkSession, paths: list[str]) -> DataFrame:
