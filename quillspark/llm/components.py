@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,24 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+class Forest:
+    """Which of some labels are connected."""
+
+    def __init__(self, labels: np.ndarray):
+        self.label, self.root = labels, np.arange(int(labels.max()) + 1 if len(labels) else 0)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return self.root[self.label[rows]]
+
+    def connect(self, x: np.ndarray, y: np.ndarray) -> None:
+        root = self.root
+        for a, b in zip(self.label[x].tolist(), self.label[y].tolist(), strict=True):
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        while (root[root] != root).any():
+            root[:] = root[root]

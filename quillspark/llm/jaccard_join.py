@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import near_copies
 from quillspark.llm.common import discard, heavy_values, materialize, salted_join
-from quillspark.llm.components import components
+from quillspark.llm.components import Forest, components
 from quillspark.llm.simhash import shingle_hashes
 
 #: Least and most bits of a signature.
@@ -118,27 +118,6 @@ def tiles(nodes: DataFrame, percent: int, tile: int) -> DataFrame:
     return cells.select(cell.alias("cell"), "node", "n", "upper")
 
 
-class Forest:
-    """Which of some labels are connected."""
-
-    def __init__(self, labels: np.ndarray):
-        self.label, self.root = labels, np.arange(int(labels.max()) + 1 if len(labels) else 0)
-
-    def of(self, rows: np.ndarray) -> np.ndarray:
-        return self.root[self.label[rows]]
-
-    def connect(self, x: np.ndarray, y: np.ndarray) -> None:
-        root = self.root
-        for a, b in zip(self.label[x].tolist(), self.label[y].tolist(), strict=True):
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 def bounded_pairs(cell: np.ndarray, n: np.ndarray, group: np.ndarray, upper: np.ndarray, sigs: list[bytes], percent: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one cell, of different groups, whose sizes and signatures allow the similarity; rows come by cell and size. Of a
     ``forest`` what earlier pairs connect is left out."""
