@@ -223,3 +223,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     discard(nodes, of, lowest)
     alone = rows.where("not worded").select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     return joined.union(alone).withColumnRenamed("id", id_col)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+items AS (SELECT doc_id, unnest(s) AS item FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.b FROM reached r JOIN both_ways e ON e.a = r.other)
+SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN reached r ON r.doc_id = n.doc_id GROUP BY ALL
+"""

@@ -101,6 +101,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillspark.llm import decontaminate, divergence, fm_dedup, suffix_dedup, warc
+    from quillspark.llm import decontaminate, divergence, fm_dedup, jaccard_join, suffix_dedup, warc
 
-    return {"op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_fm_dedup": fm_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op13_divergence": divergence.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op6_fm_dedup": fm_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_jaccard_join": jaccard_join.ORACLE, "op13_divergence": divergence.ORACLE}
