@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from quillspark.functions.text import bounded
+
 SUFFIXES = ["pdf", "docx", "txt", "html", "htm", "md", "markdown", "csv", "json"]
 DELIMITERS = [",", ";", "\t", "|", ":", " "]
 
@@ -123,7 +125,7 @@ def html_title(html: Column | str) -> Column:
 
 
 def html_counts(html: Column | str) -> dict[str, Column]:
-    n = lambda p: F.regexp_count(F.col(html) if isinstance(html, str) else html, F.lit(p)).cast("long")
+    n = lambda p: F.regexp_count(F.col(html) if isinstance(html, str) else html, F.lit(bounded(p))).cast("long")
     return {"links": n(r"(?i)<a\s[^>]*href="), "images": n(r"(?i)<img\b"), "headings": n(r"(?i)<h[1-6]\b"), "paragraphs": n(r"(?i)<p\b"), "lists": n(r"(?i)<(?:ul|ol)\b")}
 
 

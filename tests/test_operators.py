@@ -136,6 +136,17 @@ def test_null_texts_count_as_empty(spark):
     assert row.select(text.detect_format("t").alias("x")).first().x == "text"
 
 
+ACCENTED = "Esciónall í none, ñalways never. Été12% ok"
+
+
+def test_word_bounds_are_those_of_sql(spark):
+    """An accented letter is no word character in SQL's patterns, nor here."""
+    assert one(spark, F.round(text.hallucination("t"), 6), t=ACCENTED) == 0.35
+    assert one(spark, text.contradictory("t"), t="íall í none") is True and one(spark, text.contradictory("t"), t="ball none") is False
+    assert one(spark, text.contradiction_density("t"), t="One. ébut two. Three") == 0.5
+    assert one(spark, readers.html_counts("t")["images"], t="<imgé <img> <images>") == 2
+
+
 def test_decomposition(spark):
     got = one(spark, expansion.subqueries("t"), t="red cars and blue bikes, or fast trains but slow boats, x, ok then")
     assert got == ["red cars", "blue bikes", "fast trains"] or got == ["red cars", "blue bikes", "slow boats"] or len(got) == 3
