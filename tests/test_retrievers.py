@@ -140,3 +140,17 @@ def test_responses_are_processed_whole(spark):
     assert got[3].format == "bullet_points" and got[3].sources == [] and got[4].format == "table" and got[4].sources == ["doc"]
     with_context = responses.processed(df.withColumn("c", F.lit("given")), "r", "c").where("i = 3").first()
     assert with_context.confidence == pytest.approx(got[3].confidence + 0.2)
+
+
+def test_responses_with_accents_are_scored_as_sql_does(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import registry
+
+    spark.createDataFrame([(1, 1, "user", "Esciónall í none, ñalways never. Été12% ok"), (1, 2, "assistant", "ball none"), (2, 1, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("hallucination", "process_responses"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        want = con.sql(registry.oracle_sql()[name])
+        assert sorted(map(repr, map(tuple, got.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))
