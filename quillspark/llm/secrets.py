@@ -4,8 +4,8 @@ Base spans (kinds assign, access, hex) are leftmost, non-overlapping matches of
 Further candidates are strings of at least ``least`` characters in a sensitive context: within
 ``reach`` characters before or after a word such as password, key or bearer, on any line, outside base
 spans. A candidate's novelty is the number of bytes by which it lengthens the Zstandard frame of the
-code around it, the compressor being primed with a dictionary of identifiers: the names of a bounded sample of the
-texts themselves (``learn_identifiers``) behind a fixed list of usual ones. A name counts if it stands in several texts and is made of
+code around it, the compressor being primed with a dictionary of identifiers: the names that most of all
+texts themselves hold (``learn_identifiers``) behind a fixed list of usual ones. A name counts if it stands in several texts and is made of
 letters in lower case, capitalised or capital parts, so that no secret enters the dictionary. Divided by the candidate's length
 the lengthening is near 1 for random strings and small for words, paths and repeated names (the string's own
 copies are taken out of the code around it first). Candidates of novelty ``novelty`` or more are
@@ -22,6 +22,7 @@ their own row; an empty table gives an empty result; other columns are ignored b
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -48,14 +49,13 @@ _PARTS = "get set is has user name client server config default public private a
 IDENTIFIERS = " ".join(f"{a}_{b} {a}{b.title()} {a.upper()}_{b.upper()}" for a in _PARTS for b in _PARTS[-36:]).encode() + b' "": {}; = \'\' () => \n'
 
 
-def learn_identifiers(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, most: int = 4000, least_docs: int = 3) -> bytes:
-    """The names that most texts of a random sample of about ``sample_docs`` hold, the most usual last; those in fewer than ``least_docs`` texts do not count."""
-    n = docs.count()
-    if not n:
-        return b""
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").sample(min(1.0, sample_docs / n), seed=3)
+def learn_identifiers(docs: DataFrame, text_col: str = "text", most: int = 4000, least_docs: int = 3, least_share: float = 0.0015) -> bytes:
+    """The names that most of all texts hold, the most usual last; those in fewer than ``least_docs`` texts or less than ``least_share`` of the rows do not count."""
+    least = max(least_docs, math.ceil(least_share * docs.count()))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     names = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), 0))).alias("name"))
-    top = names.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).orderBy(F.desc("n"), "name").limit(most).collect()
+    # Counts are added up in each task before they are shuffled, and at most ``most`` names are collected.
+    top = names.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "name").limit(most).collect()
     return " ".join(r.name for r in reversed(top)).encode()
 
 

@@ -125,3 +125,11 @@ def test_identifiers_are_learnt_without_secrets(spark):
     learnt = secrets.learn_identifiers(docs).decode().split()
     assert {"user_account", "getInvoiceTotal", "MAX_RETRY_COUNT"} <= set(learnt) and "only_once" not in learnt and not any(c.isdigit() for w in learnt for c in w)
     assert secrets.learn_identifiers(empty(spark)) == b""
+
+
+def test_identifiers_are_counted_in_all_texts(spark):
+    """Names in few of very many texts: those of the share are learnt, each of them, those below it are not, none of them."""
+    usual, rare = ([f"{p}_{chr(97 + k)}{chr(97 + k)}" for k in range(20)] for p in ("usual", "rare"))
+    texts = [" ".join([n for n in usual if i % 600 < 1] + [n for n in rare if i % 750 == 1]) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert set(secrets.learn_identifiers(docs).decode().split()) == set(usual)
