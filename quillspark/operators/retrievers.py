@@ -52,8 +52,8 @@ class KeywordRetriever:
         self.index, self.k, self.method, self.query_id, self.item_id, self.text_col = index, k, method, query_id, index.id_col, text_col
 
     def retrieve(self, queries, k=None, threshold=None, where=None):
-        scores = (keyword.bm25_scores if self.method == "bm25" else keyword.tfidf_scores)(self.index, queries, self.query_id, self.text_col)
-        return _kept(ranking.top_k(scores, self.query_id, self.item_id, k or self.k), self.item_id, threshold, where)
+        best = (keyword.bm25_search if self.method == "bm25" else keyword.tfidf_search)(self.index, queries, k or self.k, self.query_id, self.text_col)
+        return _kept(best, self.item_id, threshold, where)
 
 
 def shares(weights: list[float], tolerance: float = 0.01) -> list[float]:

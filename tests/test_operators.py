@@ -231,6 +231,22 @@ def test_saved_index_gives_the_same_hits(spark, tmp_path):
     assert cosines(stored) == cosines(index)
 
 
+def test_search_scores_where_documents_are_read(spark, tmp_path):
+    """The hits of all pairs, cut to k, for repeated and null ids and in blocks of queries; no postings are joined or shuffled for them."""
+    rows = [(1, "red apples and green pears"), (1, "red red wine"), (2, "green tea"), (3, None), (None, "red tea"), (4, "tea tea tea pears"), (5, "green tea"), (6, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "red tea tea"), (2, "green"), (3, "none of it"), (4, None), (5, "pears wine red")], "item_id long, text string")
+    keyword.save_index(keyword.build_index(docs), str(tmp_path / "index"), usual=2)
+    index = keyword.load_index(spark, str(tmp_path / "index"))
+    rounded = lambda df: sorted((r.item_id, r.rank, r.doc_id, round(r.score, 9)) for r in df.collect())
+    for search, scores in ((keyword.bm25_search, keyword.bm25_scores), (keyword.tfidf_search, keyword.tfidf_scores)):
+        want = rounded(ranking.top_k(scores(keyword.build_index(docs), queries), "item_id", "doc_id", 2))
+        assert len(want) == 6 and rounded(search(index, queries, 2)) == want and rounded(search(keyword.build_index(docs), queries, 2)) == want
+        assert "Join" not in search(index, queries, 2)._jdf.queryExecution().executedPlan().toString()
+    both = [(r.item_id, r.rank, r.doc_id, round(r.bm25, 9)) for r in keyword.search(index, queries, 2, block=2).collect()]
+    assert sorted(both) == rounded(keyword.bm25_search(index, queries, 2))
+
+
 def test_mmr_and_cross_encoder(spark):
     rows = [(1, 10, 3.0, 1, "a b c", "q"), (1, 11, 2.9, 2, "a b c", "q"), (1, 12, 1.0, 3, "x y z", "q")]
     c = spark.createDataFrame(rows, "q long, i long, score double, rank long, text string, query string")
