@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -328,14 +329,13 @@ def walk(html: str | None) -> tuple[str, int, int, list[str]]:
 def html_text(pages: DataFrame, id_col: str, html: str, most: int = 1_000_000) -> DataFrame:
     """(id, text, n_tables, n_links, domains) of each page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *walk(h)) for i, h in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True)]
-            out = pd.DataFrame(rows, columns=[id_col, "text", "n_tables", "n_links", "domains"])
-            out["text"] = out["text"].str.slice(0, most)
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A few pages at a time, so that no batch's texts are held beside its pages.
+        for b in (b.slice(at, 128) for b in batches for at in range(0, len(b), 128)):
+            texts, tables, links, domains = zip(*(walk(h.as_py()) for h in b.column(1)), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[:most] for t in texts], pa.string()), pa.array(tables, pa.int64()), pa.array(links, pa.int64()), pa.array(domains, pa.list_(pa.string()))], [id_col, "text", "n_tables", "n_links", "domains"])
 
-    return pages.select(id_col, html).mapInPandas(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, text string, n_tables long, n_links long, domains array<string>")
+    return pages.select(id_col, html).mapInArrow(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, text string, n_tables long, n_links long, domains array<string>")
 
 
 def html_tables(pages: DataFrame, id_col: str, html: str) -> DataFrame:
