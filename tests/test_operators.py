@@ -321,3 +321,57 @@ def test_judged_by_label_equals_judged(spark):
     relevant = own.join(other, "label").where("q <> i").select("q", "i")
     rows = lambda df: {tuple(r) for r in df.select("q", "i", "rank", "hit", "n_relevant").collect()}
     assert rows(evaluation.judged_by_label(ranked, labelled, "q", "i", "id", "label")) == rows(evaluation.judged(ranked, relevant, "q", "i"))
+
+
+def test_python_passes_hold_a_few_rows_at_a_time(spark, monkeypatch):
+    """What a batch gives comes out in parts: the passes never hold the results of a whole one. Results are those of one row at a time."""
+    import pyarrow as pa
+
+    sizes = []
+
+    class Frame:
+        """A table whose batch is handed to the function of ``mapInArrow`` here."""
+
+        def __init__(self, df):
+            self.df, self.schema = df, df.schema
+
+        def select(self, *cols):
+            return Frame(self.df.select(*cols))
+
+        def mapInArrow(self, run, schema):
+            batch = self.df.toArrow().combine_chunks().to_batches()[0]
+            out = list(run(iter([batch])))
+            sizes.append([b.num_rows for b in out])
+            return pa.Table.from_batches(out)
+
+    pages = spark.range(600).select("id", F.format_string("<h1>t%d</h1><a href='http://x%d.org'>l</a>", "id", "id").alias("html"))
+    got = readers.html_text(Frame(pages), "id", "html")
+    assert got["text"].to_pylist() == [readers.walk(f"<h1>t{n}</h1><a href='http://x{n}.org'>l</a>")[0] for n in range(600)] and max(sizes[-1]) <= 128
+    pairs = spark.range(600).select("id", F.lit("the cat sat on the mat").alias("c"), F.when(F.col("id") > 0, F.lit("the cat sat")).alias("r"))
+    got = evaluation.generation_scores(Frame(pairs), "id", "c", "r").to_pylist()
+    words = ["the cat sat on the mat".split(), "the cat sat".split()]
+    assert got[5] == {"id": 5, "bleu": evaluation.bleu(*words), "rouge_l": evaluation.rouge_l(*words), "meteor": evaluation.meteor(*words)} and got[0]["bleu"] == 0.0 and max(sizes[-1]) <= 256
+    code = spark.range(600).select("id", F.lit("def f():\n    pass\n").alias("t"))
+    assert len(chunking.chunk(Frame(code), "code_file", "id", "t")) == 600 and max(sizes[-1]) <= 256
+
+
+def test_knn_in_parts_keeps_ties_by_id(spark):
+    rows = [(n, [1.0, float(n % 5)]) for n in range(97)]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    hits = lambda part: sorted(map(tuple, vectors.knn(store, store.where("vec_id < 6"), 7, part=part).collect()))
+    assert hits(3) == hits(1024) and [r[1] for r in hits(3) if r[0] == 0] == [0, 5, 10, 15, 20, 25, 30]
+
+
+def test_probed_queries_come_out_in_parts_of_bounded_size(spark, tmp_path):
+    """Each query comes out once for each cell that it probes, so a batch of many queries is cut."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(rng.normal(size=(600, 4)))], "vec_id long, embedding array<float>")
+    index = proximity.CellIndex.build(rows, str(tmp_path / "cells"), coarse="flat", cell_rows=2)
+    held, taken = [], proximity.CellIndex.nearest
+    proximity.CellIndex.nearest = staticmethod(lambda quantizer, x, k, *rest: held.append(len(x) * k) or taken(quantizer, x, k, *rest))
+    try:
+        asked = proximity.query_blocks(rows, "vec_id", "embedding", 1000)[0].select("block", "query_id", "q").toArrow().combine_chunks().to_batches()
+        found = sum(b.num_rows for b in index.probes(200, 64)(iter(asked)))
+    finally:
+        proximity.CellIndex.nearest = staticmethod(taken)
+    assert found == 600 * 200 and max(held) <= 16_384
