@@ -385,16 +385,22 @@ class CellIndex:
         out[np.asarray(means["cell"])] = prepared(matrix(means["v"]), metric)
         return out
 
-    def search(self, queries: DataFrame, k: int, probe: int = 10, ef: int = 64, part_rows: int = 8192, block: int = 20_000, query_id: str = "vec_id", query_col: str = "embedding") -> DataFrame:
-        """(query_id, id, score, rank): about the k nearest vectors of each query, from its ``probe`` nearest cells."""
+    def probes(self, probe: int, ef: int):
+        """Rows (block, query_id, q) -> (cell, block, query_id, q) of the ``probe`` nearest cells of each query."""
         shared, metric, coarse = self.spark.sparkContext.broadcast(self.quantizer), self.metric, self.coarse
-        asked, blocks = query_blocks(queries, query_id, query_col, block)
 
-        def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                cells = CellIndex.nearest(shared.value, prepared(matrix(b["q"]), metric), probe, ef, coarse) if len(b) and len(shared.value.ids) else np.empty((0, 1), np.int64)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # A query comes out once for each of its cells, so few queries are taken at a time.
+            step = max(1, 16_384 // max(1, probe))
+            for b in (b.slice(at, step) for b in batches for at in range(0, len(b), step)):
+                cells = CellIndex.nearest(shared.value, prepared(matrix(b["q"]), metric), probe, ef, coarse) if len(shared.value.ids) else np.empty((0, 1), np.int64)
                 take = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(cells.reshape(-1), pa.int64()), *(b[c].take(take) for c in ("block", "query_id", "q"))], ["cell", "block", "query_id", "q"])
 
-        near = asked.mapInArrow(probes, "cell long, block int, query_id long, q array<float>")
-        return grouped_search(self.rows, near, "cell", k, metric, self.sizes, blocks, part_rows)
+        return run
+
+    def search(self, queries: DataFrame, k: int, probe: int = 10, ef: int = 64, part_rows: int = 8192, block: int = 20_000, query_id: str = "vec_id", query_col: str = "embedding") -> DataFrame:
+        """(query_id, id, score, rank): about the k nearest vectors of each query, from its ``probe`` nearest cells."""
+        asked, blocks = query_blocks(queries, query_id, query_col, block)
+        near = asked.select("block", "query_id", "q").mapInArrow(self.probes(probe, ef), "cell long, block int, query_id long, q array<float>")
+        return grouped_search(self.rows, near, "cell", k, self.metric, self.sizes, blocks, part_rows)
