@@ -20,17 +20,17 @@ Repeated rows each give a row. Empty tables give empty results; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_copies
 from quillspark.llm.common import discard, heavy_values, materialize, salted_join
 from quillspark.llm.components import Forest, components
 from quillspark.llm.simhash import shingle_hashes
+from quillspark.llm.verify import verified
 
 #: Least and most bits of a signature.
 BITS = (1024, 65_536)
@@ -80,15 +80,19 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def described(sets: list[np.ndarray], percent: int) -> list[pa.Array]:
+    """n, sig and prefix of ascending sets: the size, the signature and the least hashes, of which linked sets share one."""
+    prefixes = [s[: len(s) - least_shared(len(s), percent) + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+    return [pa.array(map(len, sets), pa.int64()), pa.array((signature(s, percent) for s in sets), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+
+
 def text_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(node, digest, h, low, copies, text, n, sig, prefix) of every distinct text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), size) for t in b.column("text")]
-            prefixes = [s[: len(s) - least_shared(len(s), percent) + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            more = [pa.array(map(len, sets), pa.int64()), pa.array((signature(s, percent) for s in sets), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *described(sets, percent)], [*b.schema.names, "n", "sig", "prefix"])
 
     rows = keyed_texts(docs, id_col, text_col).where("text is not null")
     texts = rows.groupBy("digest", "h").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("text").alias("text"))
@@ -192,16 +196,16 @@ def open_pairs(held: DataFrame, nodes: DataFrame, member: DataFrame | None, perc
     return out
 
 
-def links(nodes: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
-    """(a, b): links that connect all nodes whose similarity suffices."""
+def links(nodes: DataFrame, percent: int, tile: int, make: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """(a, b): links that connect all nodes (columns node, text, n, sig, prefix) whose similarity suffices; ``make`` gives the set of a text."""
     held = materialize(tiles(nodes, percent, tile), "tiles")
-    make, enough = (lambda text: shingle_set(text, size)), (lambda a, b: linked(a, b, percent))
+    enough = lambda a, b: linked(a, b, percent)
     first = open_pairs(held, nodes, None, percent, forest=True)
-    near = near_copies.verified(first, nodes, make, enough)
+    near = verified(first, nodes, make, enough)
     member = materialize(components(near, "a", "b"), "members")
     pairs = open_pairs(held, nodes, member, percent, forest=False)
     rest = materialize(pairs.join(first, ["a", "b"], "left_anti"), "rest")
-    more = near_copies.verified(rest, nodes, make, enough)
+    more = verified(rest, nodes, make, enough)
     out = materialize(near.union(more), "links")
     discard(held, first, near, member, pairs, rest, more)
     return out
@@ -210,7 +214,7 @@ def links(nodes: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, tile: int = 4096) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
     nodes = materialize(text_nodes(docs, id_col, text_col, size, percent), "nodes")
-    found = links(nodes, size, percent, tile)
+    found = links(nodes, percent, tile, lambda text: shingle_set(text, size))
     member = components(found, "a", "b")
     of = nodes.select("node", "digest", "h", "low", "copies", "n").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = materialize(of.drop("node"), "members")
