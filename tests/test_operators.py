@@ -2,6 +2,9 @@
 
 import math
 import os
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -375,3 +378,26 @@ def test_probed_queries_come_out_in_parts_of_bounded_size(spark, tmp_path):
     finally:
         proximity.CellIndex.nearest = staticmethod(taken)
     assert found == 600 * 200 and max(held) <= 16_384
+
+
+def test_claims_are_those_of_pythons_patterns():
+    """Letters and blanks that Python matches when case is ignored count, as do line breaks, and the first pattern and the earliest place win."""
+    rng = random.Random(4)
+    parts = ["The", "the", "bathe", "foo", "Bar", "a", "été", "7", "3.5", "is", "iſ", "İs", "ıs", "was", "were", "have", "does", "did", "not", "founded", "eſtablıshed", "Kelvin", ".", "!", ",", "\n", "\t", "\x1c", "\x85", " ", "　", "  "]
+    sentences = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
+    patterns = [re.compile(p, re.I) for p in evaluation.CLAIMS]
+    want = [next(({"whole": m[0], "subject": m["subject"]} for p in patterns if (m := p.search(s))), None) for s in sentences]
+    got = [m and {k: m[k] for k in ("whole", "subject")} for m in evaluation.first_claims(sentences)]
+    assert got == want and sum(m is not None for m in want) > 2000
+
+
+def test_claims_of_long_sentences_take_linear_time(spark):
+    """The first of these took over a minute and the third over three when every word was tried against every other."""
+    long = ["Anou " * 6000 + "x.y", "The a was " * 3000 + "x.y", "x.y " + "the was " * 4000, "no. " + "." * 30_000 + "x"]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(long)] + [(None, "Short one. Yes it is so."), (9, None)], "doc_id long, text string")
+    started = time.time()
+    rows = {r.doc_id: (r.sentence_index, r.claim, r.subject, r.kind) for r in evaluation.claims(docs, "doc_id", "text").collect()}
+    assert time.time() - started < 60
+    assert rows[0] == (0, long[0], None, "statement") and rows[2] == (0, long[2].strip(), None, "statement")
+    assert rows[1] == (0, long[1][:-1], "a", "factual") and rows[None] == (1, "Yes it is so.", "Yes it", "factual")
+    assert set(rows) == {0, 1, 2, None}
