@@ -8,7 +8,8 @@ A multi-index cuts the 64 bits into ``blocks``; two fingerprints within ``radius
 up to radius // blocks bits, so each block has a list of the items within that tolerance of each of its values, and the
 lists that a window's blocks name hold all items within the radius. Those are candidates. Each is verified by
 the exact weighted Jaccard similarity of the shingles: sum of smaller over sum of larger multiplicities, at least
-``similarity``.
+``similarity``. Similar windows may lie beyond the radius, above all those of few different shingles, where a majority
+turns easily; windows there that share enough shingles with an item are met exactly too, so no match is lost.
 
 Items are indexed in blocks of at most ``most_items`` items and ``most_bytes`` bytes of text, written to the shared
 folder. The texts are read once: a task holds a stretch of texts and one block at a time, so neither the driver nor a
@@ -53,6 +54,20 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared) if a or b else 0.0
 
 
+def overlaps(hashes: list[int], counts: Counter, width: int) -> np.ndarray:
+    """How many shingles each run of ``width`` hashes shares with an item, each by its smaller multiplicity."""
+    have, shared, out = Counter(), 0, []
+    for p, x in enumerate(hashes):
+        shared += have[x] < counts[x]
+        have[x] += 1
+        if p >= width - 1:
+            out.append(shared)
+            y = hashes[p - width + 1]
+            have[y] -= 1
+            shared -= have[y] < counts[y]
+    return np.array(out, np.int64)
+
+
 class Index:
     """Items of one block and shingle size, by length: fingerprints, multi-index tables and shingle multisets."""
 
@@ -123,18 +138,26 @@ class Index:
                     continue
                 windows, items = self.near(window_fingerprints(part, width), length)
                 # The exact similarity: a bound from the shared shingles first; an item that shares none has none.
-                for k in sorted(set(items.tolist()) & touched.keys()):
+                for k in sorted(ks):
                     want = len(self.items[k][2])
-                    inside = np.zeros(len(part) + 1, np.int64)
+                    least = similarity / (1 + similarity) * (width + want) - 1e-9
                     own = np.array([p - lo for p in touched[k] if lo <= p < hi], np.int64)
+                    if len(own) < least:
+                        continue
+                    inside = np.zeros(len(part) + 1, np.int64)
                     inside[own + 1] = 1
                     shared = np.cumsum(inside)
-                    shared = shared[width:] - shared[:-width]
+                    may = shared[width:] - shared[:-width] >= least
                     met = windows[items == k]
-                    for w in met[shared[met] >= similarity / (1 + similarity) * (width + want) - 1e-9].tolist():
+                    for w in met[may[met]].tolist():
                         s = weighted_similarity(Counter(part[w : w + width].tolist()), self.counts[k])
                         if s >= similarity:
                             out.append((k, lo + w, window, s))
+                    may[met] = False
+                    if may.any():  # beyond the radius, as windows with few different shingles in other proportions are
+                        both = overlaps(part.tolist(), self.counts[k], width)
+                        exact = both / (width + want - both)
+                        out += [(k, lo + w, window, float(exact[w])) for w in np.flatnonzero(may & (exact >= similarity)).tolist()]
         best: dict[int, tuple[int, int, int, float]] = {}
         for m in sorted(out, key=lambda m: (-m[3], m[1])):
             best.setdefault(m[0], m)

@@ -106,6 +106,35 @@ def test_recall_of_the_radius():
     assert sum(found) >= 0.99 * len(found)
 
 
+def test_windows_beyond_the_radius_are_met(spark, tmp_path):
+    """Texts of few different shingles: majority bits turn with one shingle more or less."""
+    import corpus_pipeline
+
+    items = [(1, "a b " * 6 + "a"), (2, "the cat sat " * 27), (3, " ".join(["one two three four"] * 20))]
+    rows = [(1, "b a " * 6 + "b"), (2, "start here " + "cat sat the " * 26 + "the end"), (3, " ".join(["three four one two"] * 19)), (4, "a b a"), (5, "the cat one two three four")]
+    rows += [(10 + k, " ".join((["x", "y", "z"][: 1 + k % 3] * 90)[: 9 + 5 * k])) for k in range(12)]
+    items += [(10 + k, " ".join((["z", "y", "x"][-1 - k % 3 :] * 90)[: 11 + 5 * k])) for k in range(12)]
+    prints = lambda text: decontaminate.window_fingerprints(h := decontaminate.shingle_hashes(text, 5), len(h))[0]
+    assert int(prints(rows[0][1]) ^ prints(items[0][1])).bit_count() > 20
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, round(r.similarity, 12)) for r in decontaminate.contaminated(docs, bench).collect()}
+    want = brute(rows, items)
+    assert (1, 1) in want and got == want
+    kept = {i for i, _ in rows} - {d for d, _ in want}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == kept and kept >= {4, 5} and 1 not in kept
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()} == kept
+
+
+def test_overlaps_are_those_of_multisets():
+    rng = random.Random(6)
+    for _ in range(200):
+        hashes, counts = [rng.randrange(6) for _ in range(rng.randint(1, 40))], Counter(rng.randrange(6) for _ in range(rng.randint(1, 20)))
+        width = rng.randint(1, len(hashes))
+        assert decontaminate.overlaps(hashes, counts, width).tolist() == [sum((Counter(hashes[w : w + width]) & counts).values()) for w in range(len(hashes) - width + 1)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(documents(spark), none).collect() == []
